@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import chat, mixing, quality, sharding
 
 
 def queries():
     return {
+        "op1_quality_rules": quality.op1,
         "op3_mixing": mixing.op3,
+        "op4_chat_formatting": chat.op4,
         "op7_sharding": sharding.op7,
     }
 
 
 def oracle_sql():
     return {
+        "op1_quality_rules": quality.SQL,
         "op3_mixing": mixing.SQL,
+        "op4_chat_formatting": chat.SQL,
     }
