@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, sharding
+from . import chat, classifier, mixing, pieces, quality, sharding
 
 
 def queries():
@@ -10,6 +10,8 @@ def queries():
         "op1_quality_rules": quality.op1,
         "op3_mixing": mixing.op3,
         "op4_chat_formatting": chat.op4,
+        "op5_sentencepiece": pieces.op5,
+        "op6_quality_classifier": classifier.op6,
         "op7_sharding": sharding.op7,
     }
 
