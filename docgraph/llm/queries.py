@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, classifier, mixing, pieces, quality, sharding
+from . import chat, classifier, mixing, neardup, pieces, quality, sharding
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_sentencepiece": pieces.op5,
         "op6_quality_classifier": classifier.op6,
         "op7_sharding": sharding.op7,
+        "op8_minhash_neardup": neardup.op8,
     }
 
 
@@ -21,4 +22,5 @@ def oracle_sql():
         "op1_quality_rules": quality.SQL,
         "op3_mixing": mixing.SQL,
         "op4_chat_formatting": chat.SQL,
+        "op8_minhash_neardup": neardup.SQL,
     }
