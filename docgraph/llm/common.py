@@ -17,8 +17,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 BATCH_BYTES = 4 << 20
 
 
@@ -96,31 +95,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) <= n:
-        size = 1 << int(n).bit_length()
-        for i, base in enumerate((_P, _P_INV)):
-            steps = np.full(size, base, dtype=np.uint64)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    if base not in _POWERS or len(_POWERS[base][0]) <= n:
+        out = []
+        for step in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(1 << int(n).bit_length(), step, dtype=np.uint64)
             steps[0] = 1
-            _POWERS[i] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[0], _POWERS[1]
+            out.append(np.cumprod(steps, dtype=np.uint64))
+        _POWERS[base] = tuple(out)
+    return _POWERS[base]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash; ``span_hash`` reads any span's hash from it."""
-    power, _ = _powers(len(data))
+def prefix_hash(data: np.ndarray, which: int = 0) -> np.ndarray:
+    """Running polynomial hash, of one of two bases; ``span_hash`` reads any span's hash from it."""
+    power, _ = _powers(len(data), _BASES[which])
     out = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+def span_raw(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray, which: int = 0) -> np.ndarray:
+    _, inverse = _powers(len(prefix), _BASES[which])
+    return (prefix[stop] - prefix[start]) * inverse[start]
+
+
+def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray, which: int = 0) -> np.ndarray:
     """Hash of bytes [start, stop), alike wherever equal bytes stand."""
-    _, inverse = _powers(len(prefix))
-    return mix64((prefix[stop] - prefix[start]) * inverse[start] + (stop - start).astype(np.uint64))
+    return mix64(span_raw(prefix, start, stop, which) + (stop - start).astype(np.uint64))
+
+
+def joined_hash(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Hash of bytes [a, b) and [c, d) put together, as ``span_hash`` of the joined bytes."""
+    power, _ = _powers(len(prefix), _BASES[0])
+    return mix64(span_raw(prefix, a, b) + span_raw(prefix, c, d) * power[b - a] + (b - a + d - c).astype(np.uint64))
 
 
 def word_hashes(kept: np.ndarray, word_at: np.ndarray) -> np.ndarray:
@@ -130,3 +140,21 @@ def word_hashes(kept: np.ndarray, word_at: np.ndarray) -> np.ndarray:
 def segment_index(first: np.ndarray) -> np.ndarray:
     """For offsets of segments, the number of the segment of each item."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
+BUCKETS = 1 << 20
+
+
+def _bucket(column: Column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BUCKETS))
+
+
+def maybe_in(df: DataFrame, column: str, keys: DataFrame, anti: bool = False) -> DataFrame:
+    """Rows of ``df`` whose key may be among ``keys`` (one column), or with ``anti`` those whose key is surely not.
+
+    Only hash buckets are compared, at most 2**20 of them whatever the input, so they can always be broadcast: most of
+    a wide table is set aside before an exact join shuffles the rest.
+    """
+    found = keys.select(_bucket(F.col(keys.columns[0])).alias("__bucket")).distinct()
+    how = "left_anti" if anti else "left_semi"
+    return df.withColumn("__bucket", _bucket(F.col(column))).join(F.broadcast(found), "__bucket", how).drop("__bucket")

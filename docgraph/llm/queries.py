@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, classifier, mixing, neardup, pieces, quality, sharding
+from . import chat, classifier, linedup, mixing, neardup, pieces, quality, sharding
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op6_quality_classifier": classifier.op6,
         "op7_sharding": sharding.op7,
         "op8_minhash_neardup": neardup.op8,
+        "op10_line_dedup": linedup.op10,
     }
 
 
@@ -23,4 +24,5 @@ def oracle_sql():
         "op3_mixing": mixing.SQL,
         "op4_chat_formatting": chat.SQL,
         "op8_minhash_neardup": neardup.SQL,
+        "op10_line_dedup": linedup.SQL,
     }
