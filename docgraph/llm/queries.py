@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, classifier, linedup, mixing, neardup, pieces, quality, sharding
+from . import chat, classifier, linedup, mixing, neardup, pieces, quality, sharding, vectors
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op6_quality_classifier": classifier.op6,
         "op7_sharding": sharding.op7,
         "op8_minhash_neardup": neardup.op8,
+        "op9_embedding_neardup": vectors.op9,
         "op10_line_dedup": linedup.op10,
     }
 
@@ -24,5 +25,6 @@ def oracle_sql():
         "op3_mixing": mixing.SQL,
         "op4_chat_formatting": chat.SQL,
         "op8_minhash_neardup": neardup.SQL,
+        "op9_embedding_neardup": vectors.SQL,
         "op10_line_dedup": linedup.SQL,
     }
