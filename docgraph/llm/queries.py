@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, classifier, linedup, mixing, neardup, pieces, quality, sharding, vectors
+from . import chat, classifier, linedup, mixing, neardup, pieces, quality, sharding, substrings, vectors
 
 
 def queries():
     return {
         "op1_quality_rules": quality.op1,
+        "op2_suffix_dedup": substrings.op2,
         "op3_mixing": mixing.op3,
         "op4_chat_formatting": chat.op4,
         "op5_sentencepiece": pieces.op5,
