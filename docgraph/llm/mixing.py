@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import cut, n_words
+from .common import WORD, cut, n_words
 
 EPOCHS = 3
 SEED = "mix-1"
@@ -38,21 +38,15 @@ def targets(sizes: DataFrame, epochs: float = EPOCHS) -> DataFrame:
     return out.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("water"), F.lit(0.0)) * F.col("weight")))
 
 
-def mix(docs: DataFrame, sizes: DataFrame | None = None, seed: str = SEED, epochs: int = EPOCHS) -> DataFrame:
-    """``docs`` (key, source, size) with source_size, target and ``taken``, the words that the mix takes of each row.
+def _place(df: DataFrame, seed: str) -> DataFrame:
+    h = F.md5(F.concat_ws("|", F.lit(seed), F.col("key").cast("string")))
+    return df.withColumn("h", h).withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
 
-    A source is taken whole floor(target / size) times, and a fraction once more: rows in the order of a seeded hash
-    until the rest of the target is met, the last of them in part.  The order is cut in 4096 hash buckets; sums per
-    (source, bucket) show the one bucket of each source in which the rest runs out, and only its rows are ordered one
-    by one, so a source with a third of all rows is never sorted in one task.  Weights are 1, 2, 3, repeating by code
-    point order of the sources, null last, unless ``sizes`` (source, weight) gives others.
 
-    Null sources form one source; rows of size 0 take 0; repeated rows are rows of their own; a mix of no words
-    takes none.
-    """
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.col("key").cast("string")))
-    rows = docs.withColumn("h", key).withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
-    rows = cut(rows)
+def plan(docs: DataFrame, sizes: DataFrame | None = None, seed: str = SEED, epochs: int = EPOCHS) -> tuple[DataFrame, DataFrame]:
+    """What ``mix`` does with (key, source, size): a row for each source, and ``more`` for the rows of the hash bucket in
+    which the rest of its target runs out."""
+    rows = cut(_place(docs, seed))
     buckets = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")))
     total = buckets.groupBy("source").agg(F.sum("size").alias("source_size"))
     if sizes is None:
@@ -60,29 +54,76 @@ def mix(docs: DataFrame, sizes: DataFrame | None = None, seed: str = SEED, epoch
         total = total.withColumn("weight", (place % 3 + 1).cast("long"))
     else:
         total = total.join(sizes.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    plan = targets(total, epochs)
+    goal = targets(total, epochs)
     turns = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = plan.withColumn("turns", turns).withColumn("rest", F.floor(F.col("target") - F.col("turns") * F.col("source_size") + 0.5).cast("long"))
-    plan = plan.select(F.col("source").alias("s"), "source_size", "target", "turns", "rest")
+    goal = goal.withColumn("turns", turns).withColumn("rest", F.floor(F.col("target") - F.col("turns") * F.col("source_size") + 0.5).cast("long"))
+    goal = goal.select(F.col("source").alias("s"), "source_size", "target", "turns", "rest")
     upto = W.Window.partitionBy("source").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)
     filled = buckets.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0)))
-    plan = (
-        filled.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    goal = (
+        filled.join(goal, F.col("source").eqNullSafe(F.col("s")))
         .where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("size")) | (F.col("rest") == 0) & (F.col("source_size") == 0))
         .groupBy("s", "source_size", "target", "turns", "rest")
         .agg(F.min(F.struct("bucket", "before")).alias("at"))
         .select("s", "source_size", "target", "turns", "rest", F.col("at.bucket").alias("stop"), F.col("at.before").alias("stop_from"))
     )
-    plan = cut(plan)
-    small = plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # one row a source
-    joined = rows.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("s")), "left")
-    inside = F.col("bucket") == F.col("stop")
+    goal = cut(goal)
     order = W.Window.partitionBy("source").orderBy("h", F.col("key").asc_nulls_first(), "size").rowsBetween(W.Window.unboundedPreceding, -1)
-    edge = joined.where(inside).withColumn("before", F.col("stop_from") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    edge = edge.withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))).drop("before")
-    rest = joined.where(~F.coalesce(inside, F.lit(False))).withColumn("more", F.when(F.col("bucket") < F.col("stop"), F.col("size")).otherwise(0))
-    out = rest.unionByName(edge)
-    return out.withColumn("taken", (F.col("turns") * F.col("size") + F.col("more")).cast("long"))
+    edge = _with(rows, goal).where(F.col("bucket") == F.col("stop")).withColumn("before", F.col("stop_from") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
+    # rows alike in key, source and size are told apart by number only
+    nth = F.row_number().over(W.Window.partitionBy("source", "key", "size").orderBy("before"))
+    return goal, cut(edge.select("source", "key", "size", more.alias("more"), nth.alias("nth")))
+
+
+def _with(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    small = goal.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # one row a source
+    return rows.join(F.broadcast(goal) if small else goal, F.col("source").eqNullSafe(F.col("s")), "left")
+
+
+def mix(docs: DataFrame, sizes: DataFrame | None = None, seed: str = SEED, epochs: int = EPOCHS) -> DataFrame:
+    """``docs`` (key, source, size and any others) with source_size, target, turns, more and ``taken``, the words that
+    the mix takes of each row: ``size`` for each turn, and ``more``.
+
+    A source is taken whole floor(target / size) times, and a fraction once more: rows in the order of a seeded hash
+    until the rest of the target is met, the last of them in part.  The order is cut in 4096 hash buckets; sums per
+    (source, bucket) show the one bucket of each source in which the rest runs out, and only its rows are ordered one
+    by one, so a source with a third of all rows is never sorted in one task, and only those rows are ever shuffled
+    whole.  Weights are 1, 2, 3, repeating by code point order of the sources, null last, unless ``sizes`` (source,
+    weight) gives others.
+
+    Null sources form one source; rows of size 0 take 0; repeated rows are rows of their own; a mix of no words takes
+    none.  ``docs`` must not have columns named s, h, bucket, stop, rest, nth or as those added.
+    """
+    goal, edge = plan(docs.select("key", "source", "size"), sizes, seed, epochs)
+    joined = _with(_place(docs, seed), goal)
+    inside = F.coalesce(F.col("bucket") == F.col("stop"), F.lit(False))
+    rest = joined.where(~inside).withColumn("more", F.when(F.col("bucket") < F.col("stop"), F.col("size")).otherwise(0))
+    nth = F.row_number().over(W.Window.partitionBy("source", "key", "size").orderBy(F.lit(0)))
+    e = edge.select(*[F.col(c).alias(f"e_{c}") for c in ("source", "key", "size", "nth")], "more")
+    same = F.col("source").eqNullSafe(F.col("e_source")) & F.col("key").eqNullSafe(F.col("e_key")) & (F.col("size") == F.col("e_size")) & (F.col("nth") == F.col("e_nth"))
+    at = joined.where(inside).withColumn("nth", nth).join(e, same).drop("nth", "e_source", "e_key", "e_size", "e_nth")
+    out = rest.unionByName(at).withColumn("turns", F.coalesce("turns", F.lit(0)).cast("long")).withColumn("more", F.coalesce("more", F.lit(0)).cast("long"))
+    out = out.withColumn("taken", (F.col("turns") * F.col("size") + F.col("more")).cast("long"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "source_size", "target", "turns", "more", "taken")
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", seed: str = SEED) -> DataFrame:
+    """The rows of the mix itself: each document as often as it is taken, with the columns of ``docs``.
+
+    The one document of each source that is taken in part has its first words then, with single blanks between, and
+    ``n_chars`` follows if there is one. A document of no words is in no mix.
+    """
+    sized = docs.withColumns({"key": F.col(key), "size": n_words(F.col("text"))})
+    out = mix(sized, seed=seed)
+    copies = F.col("turns") + F.when(F.col("more") > 0, 1).otherwise(0)
+    out = out.where((F.col("taken") > 0)).withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    part = (F.col("__turn") > F.col("turns")) & (F.col("more") < F.col("size"))
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.col("more"), F.lit(1)).cast("int")), " ")
+    out = out.withColumn("__part", part).withColumn("text", F.when(F.col("__part"), head).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__part"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import cut, string_buffers, sub_batches
+from .common import cut, maybe_in, string_buffers, sub_batches
 from .graph import components
 from .sketch import band_keys, set_keys, shingle_sets, sketches
 
@@ -197,6 +197,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = WORDS, pe
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps: one document of each group."""
+    gone = cut(near_duplicates(docs, key, words, percent).where(~F.col("kept")).select(F.col(key).alias("__gone")).distinct())
+    sure = maybe_in(docs, key, gone, anti=True)
+    return sure.unionByName(maybe_in(docs, key, gone).join(gone, F.col(key) == F.col("__gone"), "left_anti"))
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", words=3, percent=85)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import cut, let
+from .common import cut, let, maybe_in
 
 SYMBOLS = "#*$%&|<>"
 ALPHA = 0.05  # of good documents, at most this share is rejected by all rules together, per stratum
@@ -121,7 +121,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str =
     Null texts have no words and fail the base; a null stratum is a stratum; repeated rows are judged alike; without
     labels only the base rules reject.
     """
-    narrow = cut(figures(docs.select(F.col(key).alias("__key"), F.col(stratum).alias("__stratum"), F.col("text")), "text").drop("text"))
+    narrow = cut(figures(docs.select(F.col(key).alias("__key"), F.col(stratum).alias("__stratum"), F.xxhash64("text").alias("__hash"), F.col("text")), "text").drop("text"))
     marks = labels.select(F.col(key).alias("__mark"), F.col("quality")).where("quality = 1").distinct()
     holdout = narrow.where("not base_failed").join(marks, F.col("__key") == F.col("__mark"), "left_semi").withColumn("__good", F.lit(True))
     found = certify(holdout, "__stratum", "__good")
@@ -136,6 +136,14 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str =
     return out.withColumn("kept", ~F.col("base_failed") & ~over)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps; most of them never leave their task."""
+    gone = cut(judge(docs, labels, stratum, key).where(~F.col("kept")).select("__key", "__hash").distinct())
+    sure = maybe_in(docs, key, gone.select("__key"), anti=True)
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64("text") == F.col("__hash"))
+    return sure.unionByName(maybe_in(docs, key, gone.select("__key")).join(gone, same, "left_anti"))
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = judge(docs, labels)
