@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_words, mix64, segment_index, string_buffers, sub_batches, word_hashes
+from .common import flat_words, map_arrow, mix64, segment_index, string_buffers, sub_batches, word_hashes
 
 BITS = 17
 DIM = 16
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     chosen = marks.where("label = 0").orderBy("h").limit(sample).unionByName(marks.where("label = 1").orderBy("h").limit(sample))
     # at most 2 * sample rows, whatever the input
     texts = docs.select(F.col(key).alias("k"), "text").join(F.broadcast(chosen), "k").select("h", "label", "text")
-    rows = texts.mapInArrow(_featurise, "h string, label int, bucket array<int>, share array<float>")
+    rows = map_arrow(texts, _featurise, "h string, label int, bucket array<int>, share array<float>")
     got = rows.groupBy().applyInPandas(_train, "model binary").collect()
     return pickle.loads(got[0].model) if got else train([], np.zeros(0, np.int64))
 
@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     margin, bias = model.margins().astype(np.float32), float(model.bias[1] - model.bias[0])
     names = list(dict.fromkeys([*keep, "text"]))
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], "score double"])
-    return docs.select(*[docs[f"`{c}`"] for c in names]).mapInArrow(lambda it: _score(it, margin, bias, keep), schema)
+    return map_arrow(docs.select(*[docs[f"`{c}`"] for c in names]), lambda it: _score(it, margin, bias, keep), schema)
 
 
 def held_out(key: Column) -> Column:

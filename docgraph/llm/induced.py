@@ -164,9 +164,11 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return _induce(text, small, size, left)
 
 
-def common_prefixes(raw: np.ndarray, array: np.ndarray, cap: int) -> np.ndarray:
+def common_prefixes(raw: np.ndarray, array: np.ndarray, cap: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """For every place in text order, its common prefix with the suffix before it in the array, up to ``cap`` (PLCP).
 
+    Places that are not ``wanted``, and those whose suffix before is not, get 0.
+
     All places advance together, eight bytes a step while eight agree and then byte by byte; ``raw`` needs ``cap`` + 8
     bytes of padding.
     """
@@ -175,7 +177,7 @@ def common_prefixes(raw: np.ndarray, array: np.ndarray, cap: int) -> np.ndarray:
     before[array[1:]] = array[:-1]
     words = np.ndarray(shape=(len(raw) - 7,), dtype="<u8", buffer=np.ascontiguousarray(raw), strides=(1,))
     out = np.zeros(n, dtype=np.int64)
-    open_ = np.flatnonzero(before >= 0)
+    open_ = np.flatnonzero(before >= 0 if wanted is None else (before >= 0) & wanted & wanted[before])
     for step in range(0, cap, 8):
         a, b = open_ + step, before[open_] + step
         inside = (a < n) & (b < n)

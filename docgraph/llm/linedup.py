@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import cut, joined_hash, maybe_in, mix64, prefix_hash, span_hash, string_buffers, sub_batches
+from .common import cut, joined_hash, map_arrow, maybe_in, mix64, prefix_hash, span_hash, string_buffers, sub_batches
 
 MIN_CHARS = 20  # shorter lines are left alone: one edit makes too many of them alike
 NEWLINE = 10
@@ -136,17 +136,17 @@ def doomed_lines(docs: DataFrame, key: str = "doc_id", parts: int = 8) -> DataFr
     key shared by very many lines costs a row each and no pairs; the partner's edit distance is then verified.
     """
     texts = docs.select(F.col(key).cast("long").alias("id"), "text")
-    scanned = cut(texts.mapInArrow(_scan, "id long, line long, k1 long, k2 long, halves array<long>"))
+    scanned = cut(map_arrow(texts, _scan, "id long, line long, k1 long, k2 long, halves array<long>"))
     first = cut(scanned.groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("first"), F.first("halves").alias("halves")))
     own = first.select("first.id", "first.line", "halves")
     near = cut(_shared(own, "halves"))
     per_doc = near.groupBy("id").agg(F.collect_set("line").alias("lines"))  # at most the lines of one document
     fetched = maybe_in(texts, "id", near.select("id")).join(per_doc, texts.id.eqNullSafe(per_doc.id)).select(texts.id, "text", "lines")
-    fetched = fetched.mapInArrow(lambda it: _fetch(it, parts), "id long, line long, k1 long, k2 long, own string, parts array<long>")
+    fetched = map_arrow(fetched, lambda it: _fetch(it, parts), "id long, line long, k1 long, k2 long, own string, parts array<long>")
     fetched = cut(fetched)
     chosen = _shared(fetched, "parts")
     chosen = cut(fetched.join(chosen, fetched.id.eqNullSafe(chosen.id) & (fetched.line == chosen.line), "left_semi"))
-    variants = cut(chosen.select("id", "line", "own").mapInArrow(_variants, "key long, kind byte, id long, line long"))
+    variants = cut(map_arrow(chosen.select("id", "line", "own"), _variants, "key long, kind byte, id long, line long"))
     order = F.struct("id", "line")
     mins = variants.groupBy(F.col("key").alias("k")).agg(*[F.min(F.when(F.col("kind") == i, order)).alias(f"m{i}") for i in range(3)], F.count("*").alias("n")).where("n > 1")
     partner = F.when(F.col("kind") == 0, F.col("m1")).when(F.col("kind") == 1, F.col("m0")).otherwise(F.col("m2"))

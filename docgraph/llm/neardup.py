@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import cut, maybe_in, string_buffers, sub_batches
+from .common import cut, map_arrow, maybe_in, string_buffers, sub_batches
 from .graph import components
 from .sketch import band_keys, set_keys, shingle_sets, sketches
 
@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = WORDS, pe
     rows, bands = banding(percent)
     texts = docs.select(F.col(key).cast("long").alias("id"), "text")
     schema = "id long, n long, k1 long, k2 long, bands array<long>"
-    marks = cut(texts.mapInArrow(lambda it: _sketch(it, words, rows, bands), schema))
+    marks = cut(map_arrow(texts, lambda it: _sketch(it, words, rows, bands), schema))
     full = marks.where("n > 0 and id is not null")
     classes = cut(full.groupBy("k1", "k2").agg(F.min("id").alias("rep")))
     reps = full.join(classes, ["k1", "k2"]).where("id = rep").dropDuplicates(["k1", "k2"]).select("id", "n", "bands")
@@ -186,9 +186,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = WORDS, pe
     mates = placed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("last"))))
     mates = mates.select("center", F.least("block", "mate").alias("lo"), F.greatest("block", "mate").alias("hi"), "id", "block")
     wanted = placed.select("id").distinct()
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(lambda it: _sets(it, words), "id long, items binary")
+    sets = map_arrow(texts.join(wanted, "id", "left_semi"), lambda it: _sets(it, words), "id long, items binary")
     grouped = mates.join(sets, "id").repartition("center", "lo", "hi").sortWithinPartitions("center", "lo", "hi")
-    found = grouped.select("center", "lo", "hi", "id", "block", "items").mapInArrow(lambda it: _verify(it, percent), "a long, b long")
+    found = map_arrow(grouped.select("center", "lo", "hi", "id", "block", "items"), lambda it: _verify(it, percent), "a long, b long")
     groups = components(found)
     named = classes.join(groups, classes.rep == groups.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))
     out = marks.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import string_buffers, sub_batches
+from .common import map_arrow, string_buffers, sub_batches
 
 SPACE, MARK = 0x20, 0x2581
 NONE = np.int32(2**31 - 1)
 LONG = 192  # words of more symbols are merged one by one from a heap: rounds would be as many as symbols
-BATCH = 8 << 20
+BATCH = 2 << 20
 
 
 class Vocabulary:
@@ -289,7 +289,7 @@ def tokenize(docs: DataFrame, path: str, keep: list[str], outputs: tuple[str, ..
     """
     schema = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], *[T.StructField(c, TYPES[c]) for c in outputs]])
     names = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*[docs[f"`{c}`"] for c in names]).mapInArrow(lambda it: tokens(it, path, keep, outputs), schema)
+    return map_arrow(docs.select(*[docs[f"`{c}`"] for c in names]), lambda it: tokens(it, path, keep, outputs), schema)
 
 
 def model_path() -> str:

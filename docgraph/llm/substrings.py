@@ -9,24 +9,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_in, mix64, prefix_hash, span_hash, string_buffers, sub_batches
+from .common import cut, map_arrow, maybe_in, mix64, prefix_hash, shared_table, span_hash, string_buffers, sub_batches
 from .induced import common_prefixes, suffix_array
 
 LENGTH = 100  # bytes of a string that counts as repeated
 GRAM = 40  # bytes of a fingerprinted gram
 SHARD = 1 << 20  # bytes of contexts whose suffix array is induced together, at least one gram's
-BUCKET = 32 << 20  # bytes of text whose fingerprints meet in one bucket, about
+BUCKET = 8 << 20  # bytes of text whose fingerprints meet in one bucket, about
 LEAST = -(2**63)
 
 
-def winnow(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, text, hash) of the grams that are least, leftmost among equals, in some window of ``length`` bytes.
+def winnow(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(place, text, hash, lead, tail) of the grams that are least, leftmost among equals, in some window of ``length``
+    bytes; all windows that choose a gram span from ``lead`` bytes before it to ``tail`` bytes after its start.
 
-    Which gram of a window is chosen depends on the window's bytes alone, so equal windows choose the same one.
+    Which gram a window chooses depends on the window's bytes alone, so equal windows choose the same one.
     """
     n, width = len(data), length - gram + 1
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return *(np.zeros(0, np.int64) for _ in range(2)), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(2))
     prefix = prefix_hash(data)
     start = np.arange(n - gram + 1)
     value = span_hash(prefix, start, start + gram)
@@ -43,42 +44,75 @@ def winnow(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
     long_enough = np.diff(offsets) >= length
     np.add.at(fits, offsets[:-1][long_enough], 1)
     np.add.at(fits, (offsets[1:] - length + 1)[long_enough], -1)
-    chosen = (least[np.cumsum(fits[:-1]) > 0] & low).astype(np.int64)
-    chosen = chosen[np.append(True, chosen[1:] != chosen[:-1])] if len(chosen) else chosen
-    chosen = np.unique(chosen)
-    return chosen, np.searchsorted(offsets, chosen, side="right") - 1, value[chosen]
+    window = np.flatnonzero(np.cumsum(fits[:-1]) > 0)
+    chosen = (least[window] & low).astype(np.int64)
+    # the leftmost least never moves back from a window to the next, so a gram's windows stand side by side
+    first = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1])) if len(chosen) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(chosen))[: len(first)] - 1
+    place = chosen[first]
+    return place, np.searchsorted(offsets, place, side="right") - 1, value[place], place - window[first], window[last] + length - place
 
 
 def _columns(batch, *names):
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
 
 
+PARTS = 4
+
+
+def _parts(length: int, gram: int) -> list[tuple[int, int]]:
+    """Windows that hold a gram, sorted in PARTS kinds by the bytes before the gram: the least and most of each kind."""
+    width = -(-(length - gram) // PARTS)
+    return [(j * width, min(length - gram, (j + 1) * width)) for j in range(PARTS)]
+
+
 def _prints(batches, buckets: int, length: int, gram: int):
-    """Fingerprints packed by bucket of their hash: one row for each bucket and slice of texts."""
-    for batch in sub_batches(batches):
+    """Fingerprints packed by bucket of their hash: one row for each bucket and slice of texts.
+
+    Of each gram: its hash, that of its context, 16 bits of the hash of what all windows of a kind have in common, the
+    document, the place, and the bytes before and after it that its windows span.
+    """
+    for batch in sub_batches(batches, most=1 << 20):
         text, ids, marks = _columns(batch, "text", "id", "m")
         data, offsets = string_buffers(text)
-        place, of, value = winnow(data, offsets, length, gram)
+        place, of, value, lead, tail = winnow(data, offsets, length, gram)
         if not len(place):
             continue
-        lead = np.minimum(place - offsets[of], length - gram)
-        tail = np.minimum(offsets[of + 1] - place, length)
-        around = span_hash(prefix_hash(data, 1), place - lead, place + tail, 1)
+        prefix = prefix_hash(data, 1)
+        around = span_hash(prefix, place - lead, place + tail, 1)
         around = mix64(around ^ mix64((lead << 8 | tail).astype(np.uint64)))
+        packed = {"h": value, "x": around}
+        for j, (least, most) in enumerate(_parts(length, gram)):
+            fits = (lead >= least) & (tail >= length - most)
+            start, stop = np.where(fits, place - least, place), np.where(fits, place + length - most, place)
+            packed[f"q{j}"] = (span_hash(prefix, start, stop, 1) >> np.uint64(48)).astype(np.uint16)
+        packed |= {"p": (place - offsets[of]).astype(np.uint32), "l": lead.astype(np.uint8), "t": tail.astype(np.uint8)}
         bucket = (value % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edge = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
         stop = np.append(edge[1:], len(order))
-        ids, marks = ids.to_numpy(zero_copy_only=False)[of], marks.to_numpy(zero_copy_only=False)[of]
-        packed = {"h": value, "x": around, "i": ids, "m": marks, "p": (place - offsets[of]).astype(np.int64), "l": lead.astype(np.uint8), "t": tail.astype(np.uint8)}
         cols = {}
         for name, values in packed.items():
             raw, width = np.ascontiguousarray(values[order]).tobytes(), values.dtype.itemsize
             cols[name] = pa.array([raw[a * width : b * width] for a, b in zip(edge.tolist(), stop.tolist())], pa.binary())
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[order][edge]), **cols})
+        # documents in order within a bucket: their keys once, and how many grams each has
+        own, ids, marks = of[order], ids.to_numpy(zero_copy_only=False), marks.to_numpy(zero_copy_only=False)
+        head = np.append(True, own[1:] != own[:-1])
+        head[edge] = True
+        first = np.flatnonzero(head)
+        cut_at = np.searchsorted(first, np.append(edge, len(order))).tolist()
+        for name, values in (("i", ids[own[first]]), ("m", marks[own[first]]), ("c", np.diff(np.append(first, len(order))).astype(np.uint32))):
+            cols[name] = pa.array([values[a:b].tobytes() for a, b in zip(cut_at, cut_at[1:])], pa.binary())
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[order][edge]), **{n: cols[n] for n in KINDS}})
+
+
+KINDS = {"h": np.uint64, "x": np.uint64, **{f"q{j}": np.uint16 for j in range(PARTS)}, "p": np.uint32, "l": np.uint8, "t": np.uint8, "i": np.int64, "m": np.int64, "c": np.uint32}
 
 
-KINDS = {"h": np.uint64, "x": np.uint64, "i": np.int64, "m": np.int64, "p": np.int64, "l": np.uint8, "t": np.uint8}
+def _unpack(parts: list[dict]) -> dict[str, np.ndarray]:
+    c = {n: np.concatenate([np.frombuffer(p[n], dtype=k) for p in parts]) for n, k in KINDS.items()}
+    times = c.pop("c")
+    return c | {"i": np.repeat(c["i"], times), "m": np.repeat(c["m"], times)}
 
 
 def _later(*keys: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -91,14 +125,16 @@ def _rows(ids, marks, start, stop, gram=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "m": pa.array(marks, pa.int64()), "a": pa.array(start, pa.int64()), "b": pa.array(stop, pa.int64()), "h": h})
 
 
-def _meet(batches, length: int):
+def _meet(batches, length: int, gram: int):
     """Grams that occur again. Occurrences with equal contexts settle at once: all but the earliest repeat. The
     earliest of each context goes on, with h, where the gram has several contexts."""
 
+    kinds = _parts(length, gram)
+
     def settle(parts):
         if not parts:
             return
-        c = {n: np.concatenate([np.frombuffer(p[n], dtype=k) for p in parts]) for n, k in KINDS.items()}
+        c = _unpack(parts)
         again = np.argsort(c["h"], kind="stable")
         h = c["h"][again]
         same = np.append(h[1:] == h[:-1], False) | np.append(False, h[1:] == h[:-1])
@@ -107,18 +143,30 @@ def _meet(batches, length: int):
             return
         order = np.lexsort((c["p"], c["m"], c["i"], c["x"], c["h"]))
         c = {n: v[order] for n, v in c.items()}
+        p, l, t = (c[n].astype(np.int64) for n in "plt")
         new_gram = np.append(True, c["h"][1:] != c["h"][:-1])
         new_around = new_gram | np.append(True, c["x"][1:] != c["x"][:-1])
         first = np.flatnonzero(new_around)[np.cumsum(new_around) - 1]
-        l, t = c["l"].astype(np.int64), c["t"].astype(np.int64)
-        gone = np.flatnonzero(_later(c["i"], c["m"], c["p"], first=first) & (l + t >= length))
+        gone = np.flatnonzero(_later(c["i"], c["m"], p, first=first))
         if len(gone):
-            yield _rows(c["i"][gone], c["m"][gone], (c["p"] - l)[gone], (c["p"] + t)[gone])
+            yield _rows(c["i"][gone], c["m"][gone], (p - l)[gone], (p + t)[gone])
+        # the earliest of each context goes on with the windows of the kinds in which another context is alike
         grams = np.cumsum(new_gram) - 1
         several = np.bincount(grams, weights=new_around)[grams] > 1
-        on = np.flatnonzero(new_around & several & (l + t >= length))
-        if len(on):
-            yield _rows(c["i"][on], c["m"][on], (c["p"] - l)[on], (c["p"] + t)[on], c["h"][on].view(np.int64))
+        on = np.flatnonzero(new_around & several)
+        if not len(on):
+            return
+        start, stop = np.full(len(on), 1 << 60), np.full(len(on), -1)
+        for j, (least, most) in enumerate(kinds):
+            fits = np.flatnonzero((l[on] >= least) & (t[on] >= length - most))
+            key = grams[on[fits]] << 16 | c[f"q{j}"][on[fits]]
+            _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+            alike = fits[times[which] > 1]
+            start[alike] = np.minimum(start[alike], p[on[alike]] - np.minimum(l[on[alike]], most))
+            stop[alike] = np.maximum(stop[alike], p[on[alike]] + np.minimum(t[on[alike]], length - least))
+        go = stop - start >= length
+        if go.any():
+            yield _rows(c["i"][on[go]], c["m"][on[go]], start[go], stop[go], c["h"][on[go]].view(np.int64))
 
     key, parts = None, []
     for batch in batches:
@@ -166,10 +214,10 @@ def repeated(texts: list[bytes], keys: tuple[np.ndarray, ...], length: int) -> t
     array = suffix_array(string)
     # a byte of value 254 or 255 is never UTF-8, so bytes + 2 fit in a byte again
     raw = np.concatenate([string.astype(np.uint8), np.zeros(length + 16, dtype=np.uint8)])
-    prefix = common_prefixes(raw, array, length)
-    of = np.searchsorted(ends, np.arange(len(string)), side="left")
+    of = np.repeat(np.arange(len(texts) + 1), np.append(sizes + 1, 1))
     left = np.append(ends, 0)[of] - np.arange(len(string))
     whole = left >= length
+    prefix = common_prefixes(raw, array, length, whole)
     ranked = array[whole[array]]
     if not len(ranked):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -260,21 +308,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, g
     own = tagged.where(~is_copy).select("key", "id", "m", "text")
 
     buckets = max(24, total // BUCKET)
-    packed = own.select("id", "m", "text").mapInArrow(lambda it: _prints(it, buckets, length, gram), "bucket long, " + ", ".join(f"{n} binary" for n in KINDS))
+    packed = map_arrow(own.select("id", "m", "text"), lambda it: _prints(it, buckets, length, gram), "bucket long, " + ", ".join(f"{n} binary" for n in KINDS))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
-    met = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _meet(it, length), "id long, m long, a long, b long, h long")
-    met = cut(met)
+    met = map_arrow(packed.repartition(tasks, "bucket").sortWithinPartitions("bucket"), lambda it: _meet(it, length, gram), "id long, m long, a long, b long, h long")
+    met = shared_table(met, "grams")
     asked = met.where("h is not null").distinct().groupBy("id", "m").agg(F.collect_list(F.struct("h", "a", "b")).alias("spans"))
     texts = maybe_in(own.select("id", "m", "text"), "id", met.where("h is not null").select("id")).dropDuplicates(["id", "m"])
-    contexts = texts.join(asked, ["id", "m"]).select("id", "m", "text", "spans").mapInArrow(_contexts, "h long, id long, m long, a long, bytes binary")
+    contexts = map_arrow(texts.join(asked, ["id", "m"]).select("id", "m", "text", "spans"), _contexts, "h long, id long, m long, a long, bytes binary")
     shards = contexts.repartition(tasks, "h").sortWithinPartitions("h")
-    induced = shards.mapInArrow(lambda it: _induce(it, length), "id long, m long, a long, b long, h long")
-    spans = cut(met.where("h is null").unionByName(induced).select("id", "m", "a", "b"))
+    induced = map_arrow(shards, lambda it: _induce(it, length), "id long, m long, a long, b long, h long")
+    spans = met.where("h is null").unionByName(induced).select("id", "m", "a", "b")
     spans = cut(spans.groupBy("id", "m").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
 
     hit = maybe_in(own, "id", spans.select("id")).join(spans, ["id", "m"], "left")
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    changed = hit.select("key", "text", F.coalesce("spans", none).alias("spans")).mapInArrow(_remove, f"key {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
+    changed = map_arrow(hit.select("key", "text", F.coalesce("spans", none).alias("spans")), _remove, f"key {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
     alike = lambda df, n, spans, kept: df.select("key", F.octet_length("text").cast("long").alias("n_bytes"), n.cast("long").alias("n_removed"), F.lit(spans).cast("long").alias("n_spans"), kept.cast("binary").alias("kept"))
     untouched = alike(maybe_in(own, "id", spans.select("id"), anti=True), F.lit(0), 0, F.col("text"))
     copies = alike(maybe.where(is_copy), F.octet_length("text"), 1, F.lit(""))

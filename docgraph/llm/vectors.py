@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import cut
+from .common import cut, map_arrow
 from .graph import components
 from .neardup import Forest
 
@@ -61,7 +61,7 @@ def _moments(batches):
 
 def principal(reps: DataFrame, dim: int, leading: int) -> np.ndarray:
     """(dim, leading) axes of most variance; dim * (dim + 1) + 1 numbers reach the driver, whatever the input."""
-    rows = reps.select("vector").mapInArrow(_moments, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+    rows = map_arrow(reps.select("vector"), _moments, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
     sums = np.zeros(1 + dim + dim * dim)
     for r in rows:
         sums[r.place] = r.value
@@ -166,7 +166,7 @@ def _link(reps: DataFrame, dim: int, cosine: float) -> DataFrame:
 
     kinds = ", ".join([*[f"{c} long" for c in grid], *[f"p{k} double" for k in range(len(grid))]])
     blocks = max(1, min(MOST_BLOCKS, -(-n // BLOCK)))
-    placed = reps.select("id", "times", "vector").mapInArrow(place, f"id long, times long, vector binary, {kinds}")
+    placed = map_arrow(reps.select("id", "times", "vector"), place, f"id long, times long, vector binary, {kinds}")
     # the grid order: by cell, dimension by dimension; within a cell by the first projection, so that hot cells part
     ordered = placed.repartitionByRange(blocks, *grid, "p0", "id").sortWithinPartitions(*grid, "p0", "id")
     ordered = cut(ordered.withColumn("block", F.spark_partition_id().cast("long")).withColumn("order", F.monotonically_increasing_id()))
@@ -196,7 +196,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     linked with nothing and kept.
     """
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
-    found = cut(rows.mapInArrow(_classes, "id long, class binary, dim int, vector binary"))
+    found = cut(map_arrow(rows, _classes, "id long, class binary, dim int, vector binary"))
     full = found.where("dim > 0 and id is not null")
     # the vector is carried by the class's own minimum: equal in all of its rows
     reps = cut(full.groupBy("class", "dim").agg(F.min("id").alias("id"), F.count("*").alias("times"), F.first("vector").alias("vector")))
