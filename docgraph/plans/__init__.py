@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import graphs, ingest, markdown, ranking, search, texts  # noqa: F401
+from .registry import QUERIES, SQL
+from .search import flagship  # noqa: F401
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
