@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, maybe_in, mix64, prefix_hash, shared_table, span_hash, string_buffers, sub_batches
+from .common import cut, map_arrow, maybe_in, mix64, prefix_hash, span_hash, string_buffers, sub_batches
 from .induced import common_prefixes, suffix_array
 
 LENGTH = 100  # bytes of a string that counts as repeated
-GRAM = 40  # bytes of a fingerprinted gram
+GRAM = 24  # bytes of a fingerprinted gram
+BROADCAST_ROWS = 100_000
 SHARD = 1 << 20  # bytes of contexts whose suffix array is induced together, at least one gram's
 BUCKET = 8 << 20  # bytes of text whose fingerprints meet in one bucket, about
 LEAST = -(2**63)
@@ -300,10 +301,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, g
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("id"), whole.alias("text"), digest.alias("digest"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("m"))
     sizes = cut(rows.select("id", "digest", F.octet_length("text").cast("long").alias("n")))
     total = sizes.agg(F.sum("n")).head()[0] or 0
+    # where no key repeats with another text, the key alone tells documents apart, and less is shuffled
+    if sizes.groupBy("id").agg((F.min("digest") != F.max("digest")).alias("several")).where("several").isEmpty():
+        rows = rows.withColumn("m", F.lit(0).cast("long"))
     copied = cut(sizes.where(F.col("n") >= length).groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("digest", "rep"))
-    maybe = maybe_in(rows, "digest", copied.select("digest")).join(copied, "digest", "left")
-    sure = maybe_in(rows, "digest", copied.select("digest"), anti=True).withColumn("rep", F.lit(None).cast("long"))
-    tagged = maybe.select(*sure.columns).unionByName(sure)
+    if copied.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # a row for each text that occurs again
+        tagged = rows.join(F.broadcast(copied), "digest", "left")
+    else:
+        maybe = maybe_in(rows, "digest", copied.select("digest")).join(copied, "digest", "left")
+        sure = maybe_in(rows, "digest", copied.select("digest"), anti=True).withColumn("rep", F.lit(None).cast("long"))
+        tagged = maybe.select(*sure.columns).unionByName(sure)
     is_copy = F.coalesce(F.col("id") > F.col("rep"), F.lit(False))
     own = tagged.where(~is_copy).select("key", "id", "m", "text")
 
@@ -311,7 +318,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, g
     packed = map_arrow(own.select("id", "m", "text"), lambda it: _prints(it, buckets, length, gram), "bucket long, " + ", ".join(f"{n} binary" for n in KINDS))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
     met = map_arrow(packed.repartition(tasks, "bucket").sortWithinPartitions("bucket"), lambda it: _meet(it, length, gram), "id long, m long, a long, b long, h long")
-    met = shared_table(met, "grams")
+    met = cut(met)
     asked = met.where("h is not null").distinct().groupBy("id", "m").agg(F.collect_list(F.struct("h", "a", "b")).alias("spans"))
     texts = maybe_in(own.select("id", "m", "text"), "id", met.where("h is not null").select("id")).dropDuplicates(["id", "m"])
     contexts = map_arrow(texts.join(asked, ["id", "m"]).select("id", "m", "text", "spans"), _contexts, "h long, id long, m long, a long, bytes binary")
@@ -325,7 +332,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, g
     changed = map_arrow(hit.select("key", "text", F.coalesce("spans", none).alias("spans")), _remove, f"key {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
     alike = lambda df, n, spans, kept: df.select("key", F.octet_length("text").cast("long").alias("n_bytes"), n.cast("long").alias("n_removed"), F.lit(spans).cast("long").alias("n_spans"), kept.cast("binary").alias("kept"))
     untouched = alike(maybe_in(own, "id", spans.select("id"), anti=True), F.lit(0), 0, F.col("text"))
-    copies = alike(maybe.where(is_copy), F.octet_length("text"), 1, F.lit(""))
+    copies = alike(tagged.where(is_copy), F.octet_length("text"), 1, F.lit(""))
     return changed.unionByName(untouched).unionByName(copies).withColumnRenamed("key", key)
 
 
