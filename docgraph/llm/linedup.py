@@ -166,10 +166,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     Texts without such lines are not shuffled. A null text stays null with no lines; an empty one has one line. Rows of
     one key count as one document. ``docs`` must not have columns named ``n_lines``, ``n_removed`` or with ``__``.
     """
-    gone = cut(doomed_lines(docs, key).groupBy("id").agg(F.collect_set("line").alias("__gone")))
+    gone = cut(doomed_lines(docs, key).groupBy(F.col("id").alias("__gone_id")).agg(F.collect_set("line").alias("__gone")))
     rows = docs.withColumn("__id", F.col(key).cast("long"))
-    out = maybe_in(rows, "__id", gone.select("id")).join(gone, F.col("__id").eqNullSafe(F.col("id")), "left").drop("id")
-    whole = maybe_in(rows, "__id", gone.select("id"), anti=True).withColumn("__gone", F.lit(None).cast("array<bigint>"))
+    out = maybe_in(rows, "__id", gone.select("__gone_id")).join(gone, F.col("__id").eqNullSafe(F.col("__gone_id")), "left").drop("__gone_id")
+    whole = maybe_in(rows, "__id", gone.select("__gone_id"), anti=True).withColumn("__gone", F.lit(None).cast("array<bigint>"))
     out = out.unionByName(whole)
     lines = F.split(F.col("text"), "\n")
     left = F.filter(lines, lambda _, i: ~F.array_contains(F.col("__gone"), i.cast("long")))

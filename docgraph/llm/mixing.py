@@ -114,16 +114,17 @@ def mixed(docs: DataFrame, key: str = "doc_id", seed: str = SEED) -> DataFrame:
     The one document of each source that is taken in part has its first words then, with single blanks between, and
     ``n_chars`` follows if there is one. A document of no words is in no mix.
     """
-    sized = docs.withColumns({"key": F.col(key), "size": n_words(F.col("text"))})
-    out = mix(sized, seed=seed)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = mix(docs.select(row.alias("__row"), F.col(key).alias("key"), "source", n_words(F.col("text")).alias("size")), seed=seed)
     copies = F.col("turns") + F.when(F.col("more") > 0, 1).otherwise(0)
-    out = out.where((F.col("taken") > 0)).withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    part = (F.col("__turn") > F.col("turns")) & (F.col("more") < F.col("size"))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.col("more"), F.lit(1)).cast("int")), " ")
-    out = out.withColumn("__part", part).withColumn("text", F.when(F.col("__part"), head).otherwise(F.col("text")))
+    out = out.where(F.col("taken") > 0).withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    out = out.withColumn("__part", (F.col("__turn") > F.col("turns")) & (F.col("more") < F.col("size")))
+    text = F.col("__row")["text"]
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.col("more"), F.lit(1)).cast("int")), " ")
+    new = {"text": F.when(F.col("__part"), head).otherwise(text)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__part"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(F.col("__part"), F.length(head).cast("long")).otherwise(F.col("__row")["n_chars"])
+    return out.select(*[new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
