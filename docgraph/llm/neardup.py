@@ -186,7 +186,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = WORDS, pe
     mates = placed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("last"))))
     mates = mates.select("center", F.least("block", "mate").alias("lo"), F.greatest("block", "mate").alias("hi"), "id", "block")
     wanted = placed.select("id").distinct()
-    sets = map_arrow(texts.join(wanted, "id", "left_semi"), lambda it: _sets(it, words), "id long, items binary")
+    # the join below is exact; here most texts are set aside without a shuffle
+    sets = map_arrow(maybe_in(texts, "id", wanted), lambda it: _sets(it, words), "id long, items binary")
     grouped = mates.join(sets, "id").repartition("center", "lo", "hi").sortWithinPartitions("center", "lo", "hi")
     found = map_arrow(grouped.select("center", "lo", "hi", "id", "block", "items"), lambda it: _verify(it, percent), "a long, b long")
     groups = components(found)
