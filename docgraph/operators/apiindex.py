@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from docgraph.functions.text import n_tokens
+from docgraph.runtime import visible
 from docgraph.sources.files import load_spec
 
 INDEXED = ("get", "post", "put", "delete", "patch")
@@ -49,6 +50,7 @@ def _index(frames, most: int):
 
 def build_index(files: DataFrame, most: int = 20) -> DataFrame:
     """(file, text); files that do not parse are left out, a file that two roots share counts once."""
+    visible(files.sparkSession)
     return files.select("file", "content").mapInPandas(lambda it: _index(it, most), "file string, text string").dropDuplicates(["file"])
 
 

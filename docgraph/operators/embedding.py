@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgraph.functions.text import cache_key, hash16, trim_tokens
+from docgraph.runtime import visible
 
 # What some models want before a question.
 PREFIXES = {"arctic": "query: ", "stella": "Instruct: Given a web search query, retrieve relevant passages that answer the query.\nQuery: ", "qwen": "Instruct: Given a web search query, retrieve relevant passages that answer the query\nQuery:"}
@@ -63,6 +64,7 @@ def embed_query(embedder, query: str) -> list[float]:
 
 def embed(df: DataFrame, embedder, text: str = "document") -> DataFrame:
     """``df`` with ``embedding`` of its trimmed text; the embedder is made once a task and gets whole Arrow batches."""
+    visible(df.sparkSession)
 
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docgraph.runtime import visible
 from docgraph.sources.config import Config
 from docgraph.sources.files import load_spec, yaml
 
@@ -170,6 +171,7 @@ def _elements(frames, config: Config):
 
 def parse_elements(files: DataFrame, config: Config = Config()) -> DataFrame:
     """Elements of all files, split and rendered; files without any give one row with their errors and a null id."""
+    visible(files.sparkSession)
     return files.select("file", "content").mapInPandas(lambda it: _elements(it, config), ELEMENTS)
 
 

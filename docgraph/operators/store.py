@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from docgraph.functions.vectors import distance
+from docgraph.runtime import visible
 
 #: Chunk fields that hold JSON text in the flat form of a store and are parsed on the way back.
 NESTED = {"ref_ids": "map<string,array<string>>", "referenced_by": "array<string>", "status_codes": "array<string>", "tags": "array<string>"}
@@ -97,6 +98,7 @@ def top_k_many(chunks: DataFrame, queries: DataFrame, limit: int, key: str = "id
             fine = np.isfinite(value)
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at.ravel()[fine]]), ids.take(pa.array(order[best].ravel()[fine])), pa.array(value[fine])], names=[query_key, key, "distance"])
 
+    visible(chunks.sparkSession)
     part = chunks.select(key, vector).mapInArrow(near, schema)
     rank = F.row_number().over(W.Window.partitionBy(query_key).orderBy("distance", key))
     return part.withColumn("rank", rank).where(F.col("rank") <= limit)

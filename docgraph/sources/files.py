@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgraph.runtime import visible
+
 try:
     import yaml
 except ImportError:  # then only JSON can be read
@@ -140,6 +142,7 @@ def _parse_markdown(frames):
 
 def parse_markdown(files: DataFrame) -> DataFrame:
     """One row a file, with ``success`` and ``error``; a file that fails does not touch the others."""
+    visible(files.sparkSession)
     return files.select("file", "content").mapInPandas(_parse_markdown, PARSED)
 
 
