@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgraph.runtime import visible
+
 #: A word is a run of anything but space and the ASCII controls 9 to 13.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -39,7 +41,7 @@ ARROW_BYTES = 4 << 20
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` in record batches of a few MB, so that a task's memory does not follow the length of its texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    visible(df.sparkSession).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return df.mapInArrow(function, schema)
 
 

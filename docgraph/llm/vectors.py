@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from docgraph.runtime import visible
+
 from .common import cut, map_arrow
 from .graph import components
 from .neardup import Forest
@@ -173,7 +175,7 @@ def _link(reps: DataFrame, dim: int, cosine: float) -> DataFrame:
     boxes = ordered.groupBy("block").agg(*[f(f"p{k}").alias(f"{n}{k}") for n, f in (("low", F.min), ("high", F.max)) for k in range(len(grid))]).toPandas().sort_values("block")
     names = boxes.block.to_numpy()
     low, high = (boxes[[f"{n}{k}" for k in range(len(grid))]].to_numpy() for n in ("low", "high"))
-    todo = spark.range(len(names)).mapInPandas(lambda it: _partners(it, low, high, eps), "block long, lo long, hi long")
+    todo = visible(spark).range(len(names)).mapInPandas(lambda it: _partners(it, low, high, eps), "block long, lo long, hi long")
     numbers = spark.createDataFrame([(int(b), i) for i, b in enumerate(names)], "named long, block long") if len(names) else None
     if numbers is None:
         return spark.createDataFrame([], "id long, links long, other long")
