@@ -27,8 +27,8 @@ def index_text(file: str, spec: dict, most: int = 20) -> str:
     info = spec.get("info") or {}
     stem = file.rsplit("/", 1)[-1].rsplit(".", 1)[0][:12]
     title, about = info.get("title") or "", (info.get("description") or "").strip()
-    names = [(t.get("name") or "") if isinstance(t, dict) else t for t in spec.get("tags") or [] if isinstance(t, (dict, str))]
-    names = [n.strip() for n, t in zip(names, [t for t in spec.get("tags") or [] if isinstance(t, (dict, str))]) if n.strip() or isinstance(t, str)][:5]
+    given = ((t, (t.get("name") or "") if isinstance(t, dict) else t) for t in spec.get("tags") or [] if isinstance(t, (dict, str)))
+    names = [n.strip() for t, n in given if n.strip() or isinstance(t, str)][:5]
     lines = [f"API: {stem}" + (f" - {title[:30]}" if title else "")]
     lines += [f"Tags: {', '.join(names)}"] if names else []
     first = about.split(".")[0][:80] if len(about) > 10 else ""
@@ -62,9 +62,23 @@ def save_index(index: DataFrame, path: str) -> int:
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
-    """(file, text) from JSON lines or from a ``files`` array with version."""
+    """(file, text) from JSON lines, from a ``files`` array with version, or from a mapping of files to descriptions."""
     raw = spark.read.option("multiLine", path.endswith(".json")).json(path)
-    return raw.select(F.explode("files").alias("f")).select("f.file", "f.text") if "files" in raw.columns else raw.select("file", "text")
+    if "files" in raw.columns:
+        return raw.select(F.explode("files").alias("f")).select("f.file", "f.text")
+    if "text" in raw.columns:
+        return raw.select("file", "text")
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("file", "about"))
+    return whole.select("file", F.get_json_object("about", "$.description").alias("text"))
+
+
+def file_context(spark: SparkSession, path: str) -> str:
+    """The files of an index as lines under a heading; a note where there is none. One line a file is what it is for."""
+    try:
+        lines = [r.line for r in file_lines(load_index(spark, path)).orderBy("line").collect()]
+    except Exception:  # a missing or broken index must not stop a question
+        return "Available API Files: (context unavailable)"
+    return "\n".join(["Available API Files:", *lines])
 
 
 def compact(index: DataFrame, most: int = 1200) -> DataFrame:

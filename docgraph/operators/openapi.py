@@ -29,6 +29,7 @@ def version_supported(version: str, least: str) -> bool:
     return have + [0] * (size - len(have)) >= want + [0] * (size - len(want))
 
 
+# The messages below.
 def spec_errors(spec, config: Config = Config()) -> list[str]:
     """What is wrong with a specification, in order; nothing if it is valid."""
     if spec is None:

@@ -264,6 +264,7 @@ def rerank(chunks: list[dict], query: str, target: int, decide: Callable[[str],
 
 # ---- responses
 
+# The sentences of responses.
 NO_RESULTS = """No relevant API documentation found for: "{query}"
 
 This might mean:

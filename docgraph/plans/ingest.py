@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from docgraph.operators import apiindex, embedding, markdown, openapi
+from docgraph.operators import apiindex, embedding, markdown, openapi, outline
 from docgraph.sources import files
 
 from .registry import query, table
@@ -42,6 +42,11 @@ def spec_index(spark, sf_dir):
     return apiindex.build_index(_specs(spark, sf_dir))
 
 
+@query()
+def spec_outlines(spark, sf_dir):
+    return outline.outlines(_specs(spark, sf_dir))
+
+
 @query()
 def md_ingest(spark, sf_dir):
     names = [f"{r.n_nationkey}/{r.n_name.lower()}.md" for r in table(spark, sf_dir, "nation").collect()]

@@ -149,5 +149,6 @@ def parse_markdown(files: DataFrame) -> DataFrame:
 def read_chunks_json(spark: SparkSession, path: str, sample: int | None = None) -> DataFrame:
     """Chunks exported as JSON, first of each id by its place; optionally the first ``sample`` ids by order."""
     rows = spark.read.option("multiLine", True).json(path)
-    out = rows.dropDuplicates(["id"])
-    return out.orderBy("id").limit(sample) if sample else out
+    names = rows.columns
+    out = rows.withColumn("__at", F.monotonically_increasing_id()).groupBy("id").agg(F.min_by(F.struct(*names), "__at").alias("row"), F.min("__at").alias("__at"))
+    return (out.orderBy("__at").limit(sample) if sample else out).select("row.*")

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from docgraph.operators import apiindex, graph, openapi
+from docgraph.operators import apiindex, graph, openapi, outline
 from docgraph.sources import files
 from docgraph.sources.config import Config
 from pyspark.sql import functions as F
@@ -133,3 +133,24 @@ def test_closure_against_brute_force(spark):
 
     got = {(r.src, r.dst) for r in graph.closure(df).where(F.col("src") != F.col("dst")).collect()}
     assert got == {(a, b) for a, _ in edges for b in reach(a) if a != b}
+
+
+def test_outlines(spark):
+    op = {"summary": "s", "parameters": [{"name": "a", "in": "query", "required": True}, {"$ref": "#/x"}, {"name": "c"}, {"name": "d"}], "responses": {"200": {"description": "ok"}}}
+    shapes = {"A": {"type": "object", "properties": {"b": {"$ref": "#/components/schemas/B"}, "c": {"type": "string"}}, "required": ["c"]}, "B": {}}
+    got = {r.id: r for r in outline.outlines(files.in_memory(spark, {"d/s.json": json.dumps(spec(paths={"/p": {"get": op}}, components={"schemas": shapes})), "x.json": "{"})).collect()}
+    assert got["s:get_/p"].document == "GET /p\nOperation: get_/p\n\nSummary: s\n\nParameters:\n  - a (query) [required]\n  - c (unknown) [optional]\nResponses:\n  - 200: ok"
+    assert got["s:A"].document.endswith("Properties:\n  - b: unknown\n  - c: string [required]") and got["s:A"].refs == ["s:B"] and len(got) == 3
+
+
+def test_index_forms(spark, tmp_path):
+    (tmp_path / "v2.json").write_text(json.dumps({"version": "2.0", "total_files": 1, "files": [{"file": "a", "text": "API: a\nx"}]}))
+    (tmp_path / "old.json").write_text(json.dumps({"a.json": {"description": "of a"}, "b.json": {}}))
+    assert apiindex.file_context(spark, str(tmp_path / "v2.json")) == "Available API Files:\n- a: API: a"
+    assert apiindex.file_context(spark, str(tmp_path / "old.json")) == "Available API Files:\n- a.json: of a\n- b.json: API Documentation"
+    assert "unavailable" in apiindex.file_context(spark, str(tmp_path / "none.json"))
+
+
+def test_chunks_json(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps([{"id": "b", "x": 1}, {"id": "a", "x": 2}, {"id": "b", "x": 3}]))
+    assert [(r.id, r.x) for r in files.read_chunks_json(spark, str(tmp_path / "c.json"), 2).collect()] == [("b", 1), ("a", 2)]
