@@ -281,24 +281,27 @@ def footer(context: Context) -> str:
     return f"---\nConfidence: high (from pre-built index)\nSources: {context.total} chunks\nResponse time: {context.stats.get('total_time_ms', 0):.0f}ms retrieval"
 
 
-def _fitting(parts: list[str], head: list[str], budget: int | None, gap: bool) -> tuple[list[str], int]:
+def _fitting(parts: list[str], head: list[str], budget: int | None, gap: bool, count: Callable[[str], int]) -> tuple[list[str], int]:
     """Parts after ``head`` until the first one that overflows the budget; its cost is that of the whole text so far."""
     out, taken = list(head), 0
     for part in parts:
-        if budget is not None and tokens("\n".join([*out, part])) > budget:
+        if budget is not None and count("\n".join([*out, part])) > budget:
             break
         out += [part, ""] if gap else [part]
         taken += 1
     return out, taken
 
 
-def respond(context: Context, max_tokens: int = 4000, style: str = "detailed", by_count: bool = False) -> str:
-    """The context as text within a token budget, of which head and footer are taken off first (the head counts again)."""
+def respond(context: Context, max_tokens: int = 4000, style: str = "detailed", by_count: bool = False, count: Callable[[str], int] = tokens) -> str:
+    """The context as text within a token budget, of which head and footer are taken off first (the head counts again).
+
+    ``count`` is how tokens are counted; any tokenizer will do.
+    """
     hits = context.primary + context.referenced
     if not hits:
         return NO_RESULTS.format(query=context.query)
     if style == "raw":
-        return "\n".join(_fitting([f"=== {h.id} ===\n{h.document}\n" for h in hits], [], None if by_count else max_tokens, False)[0])
+        return "\n".join(_fitting([f"=== {h.id} ===\n{h.document}\n" for h in hits], [], None if by_count else max_tokens, False, count)[0])
     end = footer(context)
     if style == "summary":
         head, parts = [f'Found {len(hits)} relevant chunks for: "{context.query}"\n'], [f"• {h.id}: {h.document[:100]}..." for h in hits]
@@ -306,8 +309,8 @@ def respond(context: Context, max_tokens: int = 4000, style: str = "detailed", b
         head = [f'Based on your query: "{context.query}"\n', "I found the following relevant API documentation:\n"]
         kind = lambda h: f" ({h.metadata['type']})" if h.metadata.get("type") else ""
         parts = [f"{i}. {h.id}{kind(h)} [relevance: {h.relevance:.2f}]\n{h.document}" for i, h in enumerate(hits, 1)]
-    room = None if by_count else max_tokens - tokens("\n".join(head) + end)
-    out, taken = _fitting(parts, head, room, style != "summary")
+    room = None if by_count else max_tokens - count("\n".join(head) + end)
+    out, taken = _fitting(parts, head, room, style != "summary", count)
     if taken < len(hits):
         out += [f"... (showing {taken}/{len(hits)} chunks)"] if style == "summary" else [f"... (truncated {len(hits) - taken} additional chunks to fit response limit)", ""]
     if style == "summary":

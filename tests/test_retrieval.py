@@ -89,6 +89,7 @@ def test_responses():
     assert "... (truncated 1 additional chunks to fit response limit)" in retrieval.respond(c, 220)
     assert "truncated" not in retrieval.respond(c, 1, by_count=True)
     assert "... (showing 0/2 chunks)" in retrieval.respond(c, 40, "summary") and retrieval.respond(c, 120, "raw") == f"=== a ===\n{'x' * 400}\n"
+    assert "truncated 2" in retrieval.respond(c, 50, count=lambda s: len(s.split()) * 100)
     assert "No relevant API documentation" in retrieval.respond(Context("q", [], []))
 
 
