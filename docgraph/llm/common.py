@@ -28,9 +28,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the cluster's shared checkpoint folder, cutting lineage."""
+def cut(df: DataFrame, small: bool = False) -> DataFrame:
+    """Materialise in the cluster's shared checkpoint folder, cutting lineage.
+
+    A ``small`` table, of a few dozen bytes for each of some documents, is written by an eighth as many tasks as
+    shuffles have: every round of an iteration else leaves as many little files as large tables need.
+    """
     context = df.sparkSession.sparkContext
+    if small:
+        df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
     return df.checkpoint(eager=True)
@@ -171,12 +177,16 @@ def _bucket(column: Column) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(BUCKETS))
 
 
-def maybe_in(df: DataFrame, column: str, keys: DataFrame, anti: bool = False) -> DataFrame:
-    """Rows of ``df`` whose key may be among ``keys`` (one column), or with ``anti`` those whose key is surely not.
+def maybe_in(df: DataFrame, column: str, keys: DataFrame, anti: bool = False, also: str | None = None) -> DataFrame:
+    """Rows of ``df`` whose key may be among ``keys`` (one column), or with ``anti`` those whose key is surely not (and
+    those where the boolean column ``also`` holds).
 
     Only hash buckets are compared, at most 2**20 of them whatever the input, so they can always be broadcast: most of
     a wide table is set aside before an exact join shuffles the rest.
     """
     found = keys.select(_bucket(F.col(keys.columns[0])).alias("__bucket")).distinct()
+    if also:
+        marked = df.withColumn("__b", _bucket(F.col(column))).join(F.broadcast(found.withColumn("__hit", F.lit(True))), F.col("__b") == F.col("__bucket"), "left")
+        return marked.where(F.col(also) | F.col("__hit").isNull()).drop("__b", "__bucket", "__hit")
     how = "left_anti" if anti else "left_semi"
     return df.withColumn("__bucket", _bucket(F.col(column))).join(F.broadcast(found), "__bucket", how).drop("__bucket")

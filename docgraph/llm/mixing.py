@@ -47,7 +47,7 @@ def plan(docs: DataFrame, sizes: DataFrame | None = None, seed: str = SEED, epoc
     """What ``mix`` does with (key, source, size): a row for each source, and ``more`` for the rows of the hash bucket in
     which the rest of its target runs out."""
     rows = cut(_place(docs, seed))
-    buckets = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")))
+    buckets = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), small=True)
     total = buckets.groupBy("source").agg(F.sum("size").alias("source_size"))
     if sizes is None:
         place = F.row_number().over(W.Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -67,13 +67,13 @@ def plan(docs: DataFrame, sizes: DataFrame | None = None, seed: str = SEED, epoc
         .agg(F.min(F.struct("bucket", "before")).alias("at"))
         .select("s", "source_size", "target", "turns", "rest", F.col("at.bucket").alias("stop"), F.col("at.before").alias("stop_from"))
     )
-    goal = cut(goal)
+    goal = cut(goal, small=True)
     order = W.Window.partitionBy("source").orderBy("h", F.col("key").asc_nulls_first(), "size").rowsBetween(W.Window.unboundedPreceding, -1)
     edge = _with(rows, goal).where(F.col("bucket") == F.col("stop")).withColumn("before", F.col("stop_from") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     # rows alike in key, source and size are told apart by number only
     nth = F.row_number().over(W.Window.partitionBy("source", "key", "size").orderBy("before"))
-    return goal, cut(edge.select("source", "key", "size", more.alias("more"), nth.alias("nth")))
+    return goal, cut(edge.select("source", "key", "size", more.alias("more"), nth.alias("nth")), small=True)
 
 
 def _with(rows: DataFrame, goal: DataFrame) -> DataFrame:

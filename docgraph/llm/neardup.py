@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = WORDS, pe
     schema = "id long, n long, k1 long, k2 long, bands array<long>"
     marks = cut(map_arrow(texts, lambda it: _sketch(it, words, rows, bands), schema))
     full = marks.where("n > 0 and id is not null")
-    classes = cut(full.groupBy("k1", "k2").agg(F.min("id").alias("rep")))
+    classes = cut(full.groupBy("k1", "k2").agg(F.min("id").alias("rep")), small=True)
     reps = full.join(classes, ["k1", "k2"]).where("id = rep").dropDuplicates(["k1", "k2"]).select("id", "n", "bands")
     banded = reps.select("id", "n", F.explode("bands").alias("band"))
     in_band = W.Window.partitionBy("band")
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = WORDS, pe
     members = members.where("size > 1").select("center", "id", "n").distinct()
     upto = W.Window.partitionBy("center").orderBy("id").rowsBetween(W.Window.unboundedPreceding, 0)
     placed = members.withColumn("block", F.floor(F.sum(F.col("n") + 1000).over(upto) / BLOCK).cast("int"))
-    placed = cut(placed.withColumn("last", F.max("block").over(W.Window.partitionBy("center"))))
+    placed = cut(placed.withColumn("last", F.max("block").over(W.Window.partitionBy("center"))), small=True)
     mates = placed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("last"))))
     mates = mates.select("center", F.least("block", "mate").alias("lo"), F.greatest("block", "mate").alias("hi"), "id", "block")
     wanted = placed.select("id").distinct()

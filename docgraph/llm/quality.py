@@ -127,7 +127,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str =
     found = certify(holdout, "__stratum", "__good")
     # one row a stratum, with a cutoff for every rule; infinite where none is certified
     cutoffs = found.groupBy(F.col("stratum").alias("__s")).agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"__cut_{r}") for r in RULES])
-    cutoffs = cut(cutoffs)
+    cutoffs = cut(cutoffs, small=True)
     small = cutoffs.limit(10_001).count() <= 10_000
     out = narrow.join(F.broadcast(cutoffs) if small else cutoffs, F.col("__stratum").eqNullSafe(F.col("__s")), "left")
     over = F.lit(False)

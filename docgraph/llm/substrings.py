@@ -304,7 +304,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, g
     # where no key repeats with another text, the key alone tells documents apart, and less is shuffled
     if sizes.groupBy("id").agg((F.min("digest") != F.max("digest")).alias("several")).where("several").isEmpty():
         rows = rows.withColumn("m", F.lit(0).cast("long"))
-    copied = cut(sizes.where(F.col("n") >= length).groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("digest", "rep"))
+    copied = cut(sizes.where(F.col("n") >= length).groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("digest", "rep"), small=True)
     if copied.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # a row for each text that occurs again
         tagged = rows.join(F.broadcast(copied), "digest", "left")
     else:
@@ -325,15 +325,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, g
     shards = contexts.repartition(tasks, "h").sortWithinPartitions("h")
     induced = map_arrow(shards, lambda it: _induce(it, length), "id long, m long, a long, b long, h long")
     spans = met.where("h is null").unionByName(induced).select("id", "m", "a", "b")
-    spans = cut(spans.groupBy("id", "m").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    spans = cut(spans.groupBy("id", "m").agg(F.collect_list(F.struct("a", "b")).alias("spans")), small=True)
 
-    hit = maybe_in(own, "id", spans.select("id")).join(spans, ["id", "m"], "left")
+    # copies go whole, texts without spans stay whole: neither is shuffled
+    mixed = tagged.withColumn("gone", is_copy)
+    hit = maybe_in(mixed.where("not gone"), "id", spans.select("id")).join(spans, ["id", "m"], "left")
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
     changed = map_arrow(hit.select("key", "text", F.coalesce("spans", none).alias("spans")), _remove, f"key {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
-    alike = lambda df, n, spans, kept: df.select("key", F.octet_length("text").cast("long").alias("n_bytes"), n.cast("long").alias("n_removed"), F.lit(spans).cast("long").alias("n_spans"), kept.cast("binary").alias("kept"))
-    untouched = alike(maybe_in(own, "id", spans.select("id"), anti=True), F.lit(0), 0, F.col("text"))
-    copies = alike(tagged.where(is_copy), F.octet_length("text"), 1, F.lit(""))
-    return changed.unionByName(untouched).unionByName(copies).withColumnRenamed("key", key)
+    rest = maybe_in(mixed, "id", spans.select("id"), anti=True, also="gone")
+    size = F.octet_length("text").cast("long")
+    alone = rest.select("key", size.alias("n_bytes"), F.when(F.col("gone"), size).otherwise(0).alias("n_removed"), F.col("gone").cast("long").alias("n_spans"), F.when(F.col("gone"), F.lit("")).otherwise(F.col("text")).cast("binary").alias("kept"))
+    return changed.unionByName(alone).withColumnRenamed("key", key)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -208,7 +208,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
         links = part if links is None else links.union(part)
     if links is None:
         links = df.sparkSession.createDataFrame([], "id long, links long, other long")
-    links = cut(links)
+    links = cut(links, small=True)
     groups = components(links.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     named = reps.select("class", "id", "times").join(counts, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
