@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pytest
 import sentencepiece
 from docgraph.llm import pieces
 
