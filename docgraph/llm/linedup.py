@@ -81,9 +81,10 @@ def _fetch(batches, parts: int):
         lines = Lines(data, offsets)
         wanted = batch.column(batch.schema.get_field_index("lines")).to_pylist()
         chosen = np.zeros(len(lines.text), dtype=bool)
-        first = np.searchsorted(lines.text, np.arange(len(wanted)))
+        first = np.searchsorted(lines.text, np.arange(len(wanted) + 1))
         for i, numbers in enumerate(wanted):
-            chosen[first[i] + np.array(numbers)] = True
+            own = first[i] + np.array(numbers)
+            chosen[own[own < first[i + 1]]] = True  # another text of the same key may have fewer lines
         lines.keep(chosen)
         k1, k2 = lines.hashes()
         raw = data.tobytes()
@@ -164,7 +165,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` with the lines that go taken out of ``text``, and ``n_lines`` and ``n_removed``.
 
     Texts without such lines are not shuffled. A null text stays null with no lines; an empty one has one line. Rows of
-    one key count as one document. ``docs`` must not have columns named ``n_lines``, ``n_removed`` or with ``__``.
+    one key count as one document: lines of one number go in all of them. ``docs`` must not have columns named ``n_lines``, ``n_removed`` or with ``__``.
     """
     gone = cut(doomed_lines(docs, key).groupBy(F.col("id").alias("__gone_id")).agg(F.collect_set("line").alias("__gone")))
     rows = docs.withColumn("__id", F.col(key).cast("long"))
@@ -175,7 +176,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     left = F.filter(lines, lambda _, i: ~F.array_contains(F.col("__gone"), i.cast("long")))
     out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-    out = out.withColumn("n_removed", F.when(F.col("text").isNull() | F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"))
+    out = out.withColumn("n_removed", F.when(F.col("text").isNull() | F.col("__gone").isNull(), 0).otherwise(F.size(F.filter("__gone", lambda x: x < F.col("n_lines")))).cast("long"))
     return out.withColumn("text", F.when(F.col("n_removed") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))).drop("__id", "__gone")
 
 

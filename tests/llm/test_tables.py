@@ -290,6 +290,14 @@ def test_lines_against_brute_force(spark):
     assert got == brute_lines(texts)
 
 
+def test_lines_of_repeated_keys(spark):
+    many, other = [f"a line of the first text, number {'abcdefghij'[i] * 5}" for i in range(9)], "only one line of some length here"
+    near = [x.replace("first", "firsts") for x in many]
+    df = spark.createDataFrame([(1, "\n".join(many)), (2, "\n".join(near)), (2, other), (2, None)], "doc_id long, text string")
+    got = linedup.dedup_lines(df).collect()
+    assert len(got) == 4 and "\n".join(many) in [r.text for r in got] and sorted(r.n_removed for r in got if r.doc_id == 2 and r.text is None) == [0]
+
+
 def test_very_common_line(spark):
     df = spark.createDataFrame([(i, f"own line number {i * 7919:08d} of this text here\nthe very common line that all texts hold{'!' * (i % 2)}") for i in range(500)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in linedup.dedup_lines(df).collect()}
