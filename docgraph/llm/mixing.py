@@ -130,7 +130,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", seed: str = SEED) -> DataFrame:
 def op3(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select(F.col("doc_id").alias("key"), "source", n_words(F.col("text")).alias("size"))
-    out = mix(rows)
+    out = mix(cut(rows))
     return out.select(F.col("key").alias("doc_id"), "size", F.col("source_size").cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "taken")
 
 
