@@ -147,14 +147,15 @@ def doomed_lines(docs: DataFrame, key: str = "doc_id", parts: int = 8) -> DataFr
     fetched = cut(fetched)
     chosen = _shared(fetched, "parts")
     chosen = cut(fetched.join(chosen, fetched.id.eqNullSafe(chosen.id) & (fetched.line == chosen.line), "left_semi"))
-    variants = cut(map_arrow(chosen.select("id", "line", "own"), _variants, "key long, kind byte, id long, line long"))
+    # read twice below and made twice: that costs less than to keep them
+    variants = map_arrow(chosen.select("id", "line", "own"), _variants, "key long, kind byte, id long, line long")
     order = F.struct("id", "line")
     mins = variants.groupBy(F.col("key").alias("k")).agg(*[F.min(F.when(F.col("kind") == i, order)).alias(f"m{i}") for i in range(3)], F.count("*").alias("n")).where("n > 1")
     partner = F.when(F.col("kind") == 0, F.col("m1")).when(F.col("kind") == 1, F.col("m0")).otherwise(F.col("m2"))
-    met = variants.join(mins, variants.key == mins.k).select("id", "line", partner.alias("with")).where(F.col("with") < order)
+    met = variants.join(mins, F.col("key") == F.col("k")).where(partner < order).select(F.col("id").alias("own_id"), F.col("line").alias("own_line"), partner.alias("with"))
     pairs = met.distinct()
     side = chosen.select(F.struct("id", "line").alias("at"), F.col("own").alias("other"))
-    verified = pairs.join(chosen, pairs.id.eqNullSafe(chosen.id) & (pairs.line == chosen.line)).select(chosen.id, chosen.line, "k1", "k2", "own", "with").join(side, F.col("with").eqNullSafe(F.col("at")))
+    verified = pairs.join(chosen, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_line") == F.col("line"))).select("k1", "k2", "own", "with").join(side, F.col("with").eqNullSafe(F.col("at")))
     verified = verified.where(F.levenshtein("own", "other", 1) >= 0).select("k1", "k2").distinct().withColumn("near", F.lit(True))
     classes = first.select("k1", "k2", "first").join(verified, ["k1", "k2"], "left")
     gone = scanned.select("k1", "k2", "id", "line").join(classes, ["k1", "k2"])
