@@ -57,6 +57,9 @@ def plan(docs: DataFrame, sizes: DataFrame | None = None, seed: str = SEED, epoc
     goal = targets(total, epochs)
     turns = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.withColumn("turns", turns).withColumn("rest", F.floor(F.col("target") - F.col("turns") * F.col("source_size") + 0.5).cast("long"))
+    # a target at most half a word below a whole turn rounds to that turn
+    full = (F.col("rest") >= F.col("source_size")) & (F.col("source_size") > 0)
+    goal = goal.withColumns({"turns": F.when(full, F.col("turns") + 1).otherwise(F.col("turns")), "rest": F.when(full, F.lit(0).cast("long")).otherwise(F.col("rest"))})
     goal = goal.select(F.col("source").alias("s"), "source_size", "target", "turns", "rest")
     upto = W.Window.partitionBy("source").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)
     filled = buckets.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0)))

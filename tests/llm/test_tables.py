@@ -128,6 +128,21 @@ def test_mix_with_ties(spark):
     assert len(got) == 7 and sum(r.taken for r in got if r.source == "a") == 28
 
 
+@pytest.mark.parametrize("sizes", [[2, 3], [1 + i * 7919 % 23 for i in range(2500)]])
+def test_sources_rounded_to_a_whole_turn(spark, sizes):
+    """A rest as large as the source takes it whole; each source is two documents if it has the words."""
+    texts = [(s, n) for s, size in enumerate(sizes) for n in ([size // 2, size - size // 2] if size > 3 else [size])]
+    frame = pd.DataFrame([(i, " ".join(["w"] * n), f"s{s:05d}", 2 * n) for i, (s, n) in enumerate(texts)], columns=["doc_id", "text", "source", "n_chars"])
+    docs = spark.createDataFrame(frame)
+    took = mixing.mix(docs.select(F.col("doc_id").alias("key"), "source", mixing.n_words(F.col("text")).alias("size"))).cache()
+    if len(sizes) == 2:
+        same(took.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken"), mixing.SQL, documents=frame)
+    by = took.groupBy("source").agg(F.sum("size").alias("size"), F.max("source_size").alias("of"), F.max("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert len(by) == len(sizes) and all(r.of == r.size and r.target > 0 and abs(r.taken - r.target) <= 0.5 for r in by)
+    words = {r.doc_id: r.n for r in mixing.mixed(docs).groupBy("doc_id").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
+    assert words == {r.key: r.taken for r in took.where("taken > 0").collect()}
+
+
 # ---- chat formatting
 
 TRICKY = ["", "</s>", "<⁠/s>", "[INST] x [/INST]", "<|turn|>user<|text|>", "<<s>", "⁠", "a\nb", "<|te⁠xt|>", "<⁠⁠|turn|>", "[/INST]</s><s>"]
