@@ -15,7 +15,8 @@ from docgraph.sources.config import Config
 class Engine:
     def __init__(self, spark: SparkSession, config: Config = Config(), model: Generator | None = None):
         self.spark, self.config, self.model = spark, config, model
-        self.embedder = embedding.load_embedder(config.embedding_model, max_tokens=config.embedding_max_tokens)
+        limit = {"max_tokens": config.embedding_max_tokens} if config.embedding_max_tokens else {}
+        self.embedder = embedding.load_embedder(config.embedding_model, **limit)
         self.store = ChunkStore(spark, config.store_path, config.collection, config.embedding_model, config.embedding_device)
         limits = RetrieverConfig(config.max_primary_results, config.max_total_chunks, config.max_depth)
         self.retriever = Retriever(self.store, lambda q: embedding.embed_query(self.embedder, q), limits)

@@ -20,11 +20,12 @@ PREFIXES = {"arctic": "query: ", "stella": "Instruct: Given a web search query,
 
 @dataclass(frozen=True)
 class HashingEmbedder:
-    """Signed hashed words, normalised: the same text gives the same vector on every machine."""
+    """Signed hashed words, normalised: the same text gives the same vector on every machine. It has no window: texts
+    are trimmed only if ``max_tokens`` is given."""
 
     dim: int = 64
     name: str = "hashing"
-    max_tokens: int = 512
+    max_tokens: int | None = None
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
@@ -63,7 +64,8 @@ def embed_query(embedder, query: str) -> list[float]:
 
 
 def embed(df: DataFrame, embedder, text: str = "document") -> DataFrame:
-    """``df`` with ``embedding`` of its trimmed text; the embedder is made once a task and gets whole Arrow batches."""
+    """``df`` with ``embedding`` of its text, trimmed if the embedder has a limit (``max_tokens``, None for none); the
+    embedder is made once a task and gets whole Arrow batches."""
     visible(df.sparkSession)
 
     @F.pandas_udf("array<float>")
@@ -71,7 +73,8 @@ def embed(df: DataFrame, embedder, text: str = "document") -> DataFrame:
         for texts in batches:
             yield pd.Series(list(embedder.encode(texts.fillna("").tolist())))
 
-    return df.withColumn("embedding", encode(trim_tokens(F.coalesce(F.col(text), F.lit("")), embedder.max_tokens)))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return df.withColumn("embedding", encode(whole if embedder.max_tokens is None else trim_tokens(whole, embedder.max_tokens)))
 
 
 def dimensions(df: DataFrame) -> DataFrame:

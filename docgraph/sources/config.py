@@ -15,7 +15,7 @@ class Config:
     index_path: str = "./api_index"
     embedding_model: str = "hashing"
     embedding_device: str = "cpu"
-    embedding_max_tokens: int = 512
+    embedding_max_tokens: int = 0  # 0: the embedder's own
     embedding_cache: bool = True
     cache_path: str = "./embedding_cache"
     chunk_max_tokens: int = 1000

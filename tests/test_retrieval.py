@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from docgraph.engine import Engine
 from docgraph.operators import embedding, evaluate, expansion, graph, keyword, retrieval, store
 from docgraph.operators.retrieval import Context, Hit
 from docgraph.sources.config import Config
@@ -168,6 +169,17 @@ def test_cache(spark, tmp_path):
     assert embedding.HashingEmbedder.from_config(embedding.HashingEmbedder().config()) == embedding.HashingEmbedder()
 
 
+def test_whole_texts_are_embedded(spark):
+    """Only an embedder with a limit sees a prefix; the engine sets none unless it is configured."""
+    texts = ["word " * 1000 + end for end in ("one", "two")]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, document string")
+    vectors = lambda e: [r.embedding for r in embedding.embed(df, e).orderBy("id").collect()]
+    whole, cut_ = embedding.HashingEmbedder(), embedding.HashingEmbedder(max_tokens=512)
+    assert vectors(whole) == whole.encode(texts).tolist() and vectors(whole)[0] != vectors(whole)[1]
+    assert vectors(cut_) == cut_.encode([t[:2045] + "..." for t in texts]).tolist() and vectors(cut_)[0] == vectors(cut_)[1]
+    assert Engine(spark).embedder == whole and Engine(spark, Config(embedding_max_tokens=512)).embedder == cut_
+
+
 def test_rerank():
     given = [{"id": x, "type": "t", "file": "f", "score": 0.5, "title": x, "ref_ids": [], "content": ""} for x in "abc"]
     kept, stats = retrieval.rerank(given, "q", 2, lambda p: "a -> KEEP\nb -> DISCARD\nb->EXPAND_1\n noise")
