@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from docgraph.functions.vectors import distance
+from docgraph.operators.graph import cut
 from docgraph.runtime import visible
 
 #: Chunk fields that hold JSON text in the flat form of a store and are parsed on the way back.
@@ -59,22 +62,38 @@ def top_k(chunks: DataFrame, query: list[float], limit: int, filters: Mapping |
 
 
 MOST_QUERIES = 20_000
+#: Distances that a task holds at once.
+MOST_CELLS = 4_000_000
 
 
 def top_k_many(chunks: DataFrame, queries: DataFrame, limit: int, key: str = "id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
-    """(query_key, key, distance, rank) of the nearest rows for a stated set of query vectors, all in one pass.
+    """(query_key, key, distance, rank) of the nearest rows for a stated set of query vectors.
 
-    The query matrix goes to every task (its size is checked; larger sets are to be cut by the caller), each Arrow batch
-    is multiplied with it at once, and only the batch's own best ``limit`` per query leave the task.
+    The matrix of up to MOST_QUERIES queries goes to every task, each Arrow batch is multiplied with it, and only the
+    batch's own best ``limit`` per query leave the task. More queries are searched in blocks of that size, one pass over
+    all rows each; a block's result is kept before the next one starts, so that one matrix is held at a time.
     """
-    rows = queries.select(query_key, "vector").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} query vectors: search them in parts")
+    rank = F.row_number().over(W.Window.partitionBy(query_key).orderBy("distance", key))
+    first = lambda found: found.withColumn("rank", rank).where(F.col("rank") <= limit)
+    near = lambda block: first(_nearest(chunks, queries, block, limit, key, vector, query_key))
+    rows = queries.select(query_key, "vector").toLocalIterator()
+    block, after = list(islice(rows, MOST_QUERIES)), list(islice(rows, MOST_QUERIES))
+    if not after:
+        return near(block)
+    kept = []
+    while block:
+        kept.append(cut(near(block).drop("rank")))
+        block, after = after, list(islice(rows, MOST_QUERIES))
+    return first(reduce(DataFrame.union, kept))  # a query key that is there twice may stand in two blocks
+
+
+def _nearest(chunks: DataFrame, queries: DataFrame, rows: list, limit: int, key: str, vector: str, query_key: str) -> DataFrame:
+    """(query_key, key, distance): the best ``limit`` rows of each Arrow batch for each of the query rows."""
     names = [r[0] for r in rows]
     kind, of = queries.schema[query_key].dataType.simpleString(), chunks.schema[key].dataType.simpleString()
     schema = f"`{query_key}` {kind}, `{key}` {of}, distance double"
     if not names:
-        return chunks.sparkSession.createDataFrame([], f"{schema}, rank int")
+        return chunks.sparkSession.createDataFrame([], schema)
     matrix = np.array([r[1] for r in rows], dtype=np.float64)
     matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
@@ -88,20 +107,20 @@ def top_k_many(chunks: DataFrame, queries: DataFrame, limit: int, key: str = "id
                 continue
             x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
             size = np.linalg.norm(x, axis=1)
-            far = 1 - (x / np.where(size > 0, size, 1)[:, None]) @ matrix.T
-            far[size == 0] = np.inf
             order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")  # ties go by key
-            far = far[order]
-            best = np.argsort(far, axis=0, kind="stable")[:limit]
-            at = np.tile(np.arange(len(names)), (len(best), 1))
-            value = far[best, at].ravel()
-            fine = np.isfinite(value)
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at.ravel()[fine]]), ids.take(pa.array(order[best].ravel()[fine])), pa.array(value[fine])], names=[query_key, key, "distance"])
+            unit, none = (x / np.where(size > 0, size, 1)[:, None])[order], size[order] == 0
+            step = max(1, MOST_CELLS // len(ids))
+            for first in range(0, len(names), step):
+                far = 1 - unit @ matrix[first : first + step].T
+                far[none] = np.inf
+                best = np.argsort(far, axis=0, kind="stable")[:limit]
+                at = np.tile(np.arange(far.shape[1]), (len(best), 1))
+                value = far[best, at].ravel()
+                fine = np.isfinite(value)
+                yield pa.RecordBatch.from_arrays([pa.array([names[first + i] for i in at.ravel()[fine]]), ids.take(pa.array(order[best].ravel()[fine])), pa.array(value[fine])], names=[query_key, key, "distance"])
 
     visible(chunks.sparkSession)
-    part = chunks.select(key, vector).mapInArrow(near, schema)
-    rank = F.row_number().over(W.Window.partitionBy(query_key).orderBy("distance", key))
-    return part.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return chunks.select(key, vector).mapInArrow(near, schema)
 
 
 def flatten_metadata(df: DataFrame, keep: tuple[str, ...] = ("id", "document", "embedding")) -> DataFrame:

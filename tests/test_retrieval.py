@@ -169,6 +169,20 @@ def test_cache(spark, tmp_path):
     assert embedding.HashingEmbedder.from_config(embedding.HashingEmbedder().config()) == embedding.HashingEmbedder()
 
 
+def test_many_queries_go_in_blocks(spark, monkeypatch):
+    """The same rows in blocks as at once, with ties, a zero and a missing vector and a query that is there twice."""
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(60)] + [(60, [0.0] * 4), (61, None)]
+    chunks = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = chunks.where("id < 10").union(chunks.where("id = 3")).select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    find = lambda: sorted((r.query_id, r["rank"], r.id, round(r.distance, 9)) for r in store.top_k_many(chunks, asked, 5).collect())
+    at_once = find()
+    monkeypatch.setattr(store, "MOST_QUERIES", 3)
+    monkeypatch.setattr(store, "MOST_CELLS", 20, raising=False)
+    assert find() == at_once and len(at_once) == 50
+    assert store.top_k_many(chunks, asked.limit(0), 5).count() == 0
+
+
 def test_whole_texts_are_embedded(spark):
     """Only an embedder with a limit sees a prefix; the engine sets none unless it is configured."""
     texts = ["word " * 1000 + end for end in ("one", "two")]
