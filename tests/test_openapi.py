@@ -135,6 +135,14 @@ def test_closure_against_brute_force(spark):
     assert got == {(a, b) for a, _ in edges for b in reach(a) if a != b}
 
 
+def test_closure_of_long_paths(spark):
+    """A path of 100 edges that ends in a cycle of 70: whole, with the cycle's nodes reaching themselves."""
+    after = {i: i + 1 for i in range(169)} | {169: 100}
+    df = spark.createDataFrame([(str(a), str(b)) for a, b in after.items()], "src string, dst string")
+    got = [(int(r.src), int(r.dst)) for r in graph.closure(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(170) for b in range(170) if b > a or a >= 100 and b >= 100}
+
+
 def test_outlines(spark):
     op = {"summary": "s", "parameters": [{"name": "a", "in": "query", "required": True}, {"$ref": "#/x"}, {"name": "c"}, {"name": "d"}], "responses": {"200": {"description": "ok"}}}
     shapes = {"A": {"type": "object", "properties": {"b": {"$ref": "#/components/schemas/B"}, "c": {"type": "string"}}, "required": ["c"]}, "B": {}}
