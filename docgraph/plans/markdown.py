@@ -80,6 +80,20 @@ def nav_validate(spark, sf_dir):
     return md.dangling_navigation(nav).where("field = 'previous_chunk'")
 
 
+@query(
+    f"""with {ROWS}, n as (select id, pos, lag(id) over w as v, lead(id) over w as x from h window w as (partition by file order by pos)),
+    k as (select id, pos, 'previous_chunk' as field, v as target from n
+      union all select id, pos, 'next_chunk', x from n
+      union all select a.id, a.pos, 'parent_section', b.id from p a join p b on a.file = b.file and a.parent = b.pos
+      union all select a.id, a.pos, 'child_sections', b.id from p a join p b on a.file = b.file and b.parent = a.pos
+      union all select a.id, a.pos, 'sibling_sections', b.id from p a join p b on a.file = b.file and b.level = a.level and b.parent is not distinct from a.parent and b.pos <> a.pos)
+    select id, field, target from k where pos % 3 <> 1 and target in (select id from n where pos % 3 = 1)"""
+)
+def nav_validate_fields(spark, sf_dir):
+    """As ``nav_validate``, with the dangling links of all fields."""
+    return md.dangling_navigation(md.navigation(rows(spark, sf_dir), order="pos").where("pos % 3 <> 1"))
+
+
 # ---- conversations written as Markdown text
 
 TEXT = """d as (select conv_id as file, string_agg(case role when 'system' then '# ' when 'user' then '## ' else '### ' end || role || ' ' || turn || chr(10) || text, chr(10) order by turn) as content from conversations group by conv_id),

@@ -91,3 +91,10 @@ def test_config_clamp():
 def test_unique_ids(spark):
     df = spark.createDataFrame([("f", i, x) for i, x in enumerate(["a", "b", "a", "a"])], "file string, pos int, title string")
     assert [r.identifier for r in md.unique_ids(df, t.slug_header(F.col("title"))).orderBy("pos").collect()] == ["a", "b", "a-2", "a-3"]
+
+
+def test_dangling_links_of_all_fields(spark, sf):
+    from docgraph import plans
+
+    found = plans.queries()["nav_validate_fields"](spark, sf)
+    assert {r.field for r in found.select("field").distinct().collect()} == {"previous_chunk", "next_chunk", "parent_section", "child_sections", "sibling_sections"}
