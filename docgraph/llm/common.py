@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from docgraph.runtime import visible
 
@@ -20,7 +21,6 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 BATCH_BYTES = 1 << 20
 
 
@@ -28,17 +28,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``; there is no other place for what is kept."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame, small: bool = False) -> DataFrame:
     """Materialise in the cluster's shared checkpoint folder, cutting lineage.
 
-    A ``small`` table, of a few dozen bytes for each of some documents, is written by an eighth as many tasks as
-    shuffles have: every round of an iteration else leaves as many little files as large tables need.
+    A ``small`` table, of a few dozen bytes for each of some documents, is dealt to an eighth as many files as shuffles
+    have tasks: every round of an iteration else leaves as many little files as large tables need. Dealing it is a
+    shuffle of its own, so that the stage before it keeps all its tasks.
     """
-    context = df.sparkSession.sparkContext
+    folder(df.sparkSession)
     if small:
-        df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+        df = df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     return df.checkpoint(eager=True)
 
 
@@ -53,14 +63,63 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it again."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
-    path = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a ``shared_table`` that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_names(df: DataFrame, taken: list[str]) -> DataFrame:
+    """``df`` with an underscore after each column name that is in ``taken``, as many as make it free (case counts not)."""
+    used, out = {c.lower() for c in [*df.columns, *taken]}, []
+    for c in df.columns:
+        name = c
+        if c.lower() in {t.lower() for t in taken}:
+            while name.lower() in used:
+                name += "_"
+            used.add(name.lower())
+        out.append(F.col(f"`{c}`").alias(name))
+    return df.select(*out)
+
+
+def running(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all rows before each one, by ``order`` (null first).
+
+    Rows are dealt to tasks by ranges of the order and numbered there; only one total a task is summed over all. So no
+    task holds more than its range, whatever the number of rows; ``order`` must tell nearly all rows apart.
+    """
+    placed = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).withColumn("__range", F.spark_partition_id())
+    placed = cut(placed)
+    totals = placed.groupBy("__range").agg(F.sum(value).alias("__total"))  # a row a task
+    upto = W.Window.orderBy("__range").rowsBetween(W.Window.unboundedPreceding, -1)
+    totals = totals.select("__range", F.coalesce(F.sum("__total").over(upto), F.lit(0)).alias("__from"))
+    within = W.Window.partitionBy("__range").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(W.Window.unboundedPreceding, -1)
+    out = placed.withColumn("__in", F.coalesce(F.sum(value).over(within), F.lit(0))).join(F.broadcast(totals), "__range")
+    return out.withColumn(name, F.col("__from") + F.col("__in")).drop("__range", "__from", "__in")
+
+
+#: A key is hot if it has more rows than this, or than this share of all rows: so there are at most MOST_HOT hot keys.
+HOT_ROWS, MOST_HOT = 1000, 10_000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` inner joined with ``facts`` (one row a key, with its number of rows in ``size``), ``total`` rows in all.
+
+    Rows of hot keys stay where they are and meet a broadcast of at most MOST_HOT facts; only the others are shuffled.
+    """
+    most = max(HOT_ROWS, total // MOST_HOT)
+    hot = facts.where(F.col(size) > most)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(F.col(size) <= most), key)
+    return rest.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` as a bound variable."""
     return F.transform(F.array(value), body)[0]
@@ -123,46 +182,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    if base not in _POWERS or len(_POWERS[base][0]) <= n:
-        out = []
-        for step in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(1 << int(n).bit_length(), step, dtype=np.uint64)
-            steps[0] = 1
-            out.append(np.cumprod(steps, dtype=np.uint64))
-        _POWERS[base] = tuple(out)
-    return _POWERS[base]
-
+def span_digests(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each span of bytes [start, stop), as two columns, alike wherever equal bytes stand.
 
-def prefix_hash(data: np.ndarray, which: int = 0) -> np.ndarray:
-    """Running polynomial hash, of one of two bases; ``span_hash`` reads any span's hash from it."""
-    power, _ = _powers(len(data), _BASES[which])
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=out[1:])
-    return out
-
-
-def span_raw(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray, which: int = 0) -> np.ndarray:
-    _, inverse = _powers(len(prefix), _BASES[which])
-    return (prefix[stop] - prefix[start]) * inverse[start]
-
-
-def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hash of bytes [start, stop), alike wherever equal bytes stand."""
-    return mix64(span_raw(prefix, start, stop, which) + (stop - start).astype(np.uint64))
-
-
-def joined_hash(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Hash of bytes [a, b) and [c, d) put together, as ``span_hash`` of the joined bytes."""
-    power, _ = _powers(len(prefix), _BASES[0])
-    return mix64(span_raw(prefix, a, b) + span_raw(prefix, c, d) * power[b - a] + (b - a + d - c).astype(np.uint64))
+    Spans of up to SHORT bytes are mixed eight bytes at a time, all together; longer ones are digested one by one.
+    """
+    size = stop - start
+    one = mix64(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    two = mix64(one + np.uint64(0xD1342543DE82EF95))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    go = np.flatnonzero((size > 0) & (size <= SHORT))
+    at = 0
+    while len(go):
+        block = eight[start[go] + at]
+        left = size[go] - at
+        part = left < 8
+        if part.any():
+            block[part] &= (np.uint64(1) << (8 * left[part]).astype(np.uint64)) - np.uint64(1)
+        one[go] = mix64(one[go] ^ block)
+        two[go] = mix64(two[go] + mix64(block ^ np.uint64(0x2545F4914F6CDD1D)))
+        at += 8
+        go = go[left > 8]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        got = hashlib.blake2b(data[start[i] : stop[i]].tobytes(), digest_size=16).digest()
+        one[i], two[i] = int.from_bytes(got[:8], "little"), int.from_bytes(got[8:], "little")
+    return one, two
+
+
+SHORT = 256
 
 
 def word_hashes(kept: np.ndarray, word_at: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(kept), word_at[:-1], word_at[1:])
+    return span_digests(kept, word_at[:-1], word_at[1:])[0]
 
 
 def segment_index(first: np.ndarray) -> np.ndarray:

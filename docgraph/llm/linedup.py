@@ -6,11 +6,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
-from .common import cut, joined_hash, map_arrow, maybe_in, mix64, prefix_hash, span_hash, string_buffers, sub_batches
+from .common import _SPACE, cut, free_names, join_hot, map_arrow, maybe_in, mix64, span_digests, string_buffers, sub_batches
+from .rolling import Rolling
 
-MIN_CHARS = 20  # shorter lines are left alone: one edit makes too many of them alike
+MIN_CHARS = 20  # shorter lines only go if they equal an earlier one: one edit makes too many of them alike
 NEWLINE = 10
 
 
@@ -32,14 +32,16 @@ class Lines:
         self.chars = np.concatenate([[0], np.cumsum(lead)])  # code points before each byte
         self.at = np.append(np.flatnonzero(lead), len(data))  # byte of each code point
         self.length = self.chars[self.stop] - self.chars[self.start]
-        self.prefix = [prefix_hash(data, 0), prefix_hash(data, 1)]
+        said = np.concatenate([[0], np.cumsum(~_SPACE[data])])
+        self.said = said[self.stop] > said[self.start]  # whether a word stands in the line
+        self.rolling = Rolling(data)
 
     def keep(self, mask: np.ndarray) -> None:
-        for name in ("text", "start", "stop", "number", "length"):
+        for name in ("text", "start", "stop", "number", "length", "said"):
             setattr(self, name, getattr(self, name)[mask])
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(span_hash(self.prefix[i], self.start, self.stop, i) for i in (0, 1))
+        return span_digests(self.data, self.start, self.stop)
 
     def without_part(self, parts: int) -> np.ndarray:
         """Keys of each line without one of ``parts`` stretches, for its own length and for the length one less.
@@ -53,26 +55,27 @@ class Lines:
             length = self.length - less
             for j in range(parts):
                 a, b = length * j // parts, length * (j + 1) // parts
-                head = span_hash(self.prefix[0], self.start, self.at[first + a])
-                tail = span_hash(self.prefix[0], self.at[first + self.length - (length - b)], self.stop)
+                head = self.rolling.hash(self.start, self.at[first + np.maximum(a, 0)])
+                tail = self.rolling.hash(self.at[first + self.length - (length - b)], self.stop)
                 salt = mix64((length * parts + j).astype(np.uint64))
                 out.append(mix64(mix64(head + salt) * np.uint64(0x9E3779B97F4A7C15) + tail))
         return np.stack(out, axis=1) if len(self.start) else np.zeros((0, 2 * parts), np.uint64)
 
 
-def _lists(values: np.ndarray) -> pa.Array:
-    n, width = values.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.view(np.int64).reshape(-1)))
+def _lists(values: np.ndarray, of: np.ndarray) -> pa.Array:
+    """A list column of the rows of ``values`` where ``of`` holds, empty lists elsewhere."""
+    at = np.concatenate([[0], np.cumsum(of)]).astype(np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(values[of]).view(np.int64).reshape(-1)))
 
 
 def _scan(batches):
     for batch in sub_batches(batches):
         data, offsets = string_buffers(batch.column(batch.schema.get_field_index("text")))
         lines = Lines(data, offsets)
-        lines.keep(lines.length >= MIN_CHARS)
+        lines.keep(lines.said)
         k1, k2 = lines.hashes()
         ids = batch.column(batch.schema.get_field_index("id")).take(pa.array(lines.text))
-        yield pa.RecordBatch.from_pydict({"id": ids, "line": pa.array(lines.number), "k1": pa.array(k1.view(np.int64)), "k2": pa.array(k2.view(np.int64)), "halves": _lists(lines.without_part(2))})
+        yield pa.RecordBatch.from_pydict({"id": ids, "line": pa.array(lines.number), "k1": pa.array(k1.view(np.int64)), "k2": pa.array(k2.view(np.int64)), "halves": _lists(lines.without_part(2), lines.length >= MIN_CHARS)})
 
 
 def _fetch(batches, parts: int):
@@ -90,7 +93,7 @@ def _fetch(batches, parts: int):
         raw = data.tobytes()
         ids = batch.column(batch.schema.get_field_index("id")).take(pa.array(lines.text))
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(lines.start.tolist(), lines.stop.tolist())]
-        yield pa.RecordBatch.from_pydict({"id": ids, "line": pa.array(lines.number), "k1": pa.array(k1.view(np.int64)), "k2": pa.array(k2.view(np.int64)), "own": pa.array(texts, pa.string()), "parts": _lists(lines.without_part(parts))})
+        yield pa.RecordBatch.from_pydict({"id": ids, "line": pa.array(lines.number), "k1": pa.array(k1.view(np.int64)), "k2": pa.array(k2.view(np.int64)), "own": pa.array(texts, pa.string()), "parts": _lists(lines.without_part(parts), np.ones(len(lines.text), bool))})
 
 
 def _variants(batches):
@@ -101,40 +104,45 @@ def _variants(batches):
         chars = np.searchsorted(lead, offsets)
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(chars))
         begin, end = lead[:-1], lead[1:]
-        prefix = prefix_hash(data)
-        head = span_hash(prefix, offsets[:-1][row], begin)
-        tail = span_hash(prefix, end, offsets[1:][row])
-        # the hash of two pieces joined, from their raw sums: as the whole variant's own
-        joined = joined_hash(prefix, offsets[:-1][row], begin, end, offsets[1:][row])
-        whole = span_hash(prefix, offsets[:-1], offsets[1:])
         place = (np.arange(len(row)) - chars[:-1][row]).astype(np.uint64)
-        spot = mix64(mix64(head + np.uint64(7)) ^ mix64(tail * np.uint64(3) + np.uint64(1)) ^ mix64(place + np.uint64(11)))
-        same = np.append(False, (joined[1:] == joined[:-1]) & (row[1:] == row[:-1])) if len(row) else np.zeros(0, bool)
+        keys = []
+        for lane in (0, 1):  # 122 bits in all: a line's earliest partner by its key must not be another's
+            rolling = Rolling(data, lane)
+            head, tail = rolling.hash(offsets[:-1][row], begin), rolling.hash(end, offsets[1:][row])
+            joined = rolling.joined(offsets[:-1][row], begin, end, offsets[1:][row])
+            whole = rolling.hash(offsets[:-1], offsets[1:])
+            spot = mix64(mix64(head + np.uint64(7)) ^ mix64(tail * np.uint64(3) + np.uint64(1)) ^ mix64(place + np.uint64(11)))
+            if not lane:
+                same = np.append(False, (joined[1:] == joined[:-1]) & (row[1:] == row[:-1])) if len(row) else np.zeros(0, bool)
+            keys.append(np.concatenate([whole, joined[~same], spot]).view(np.int64))
         rows = np.concatenate([np.arange(len(whole)), row[~same], row])
         kind = np.concatenate([np.zeros(len(whole)), np.ones((~same).sum()), np.full(len(row), 2)]).astype(np.int8)
-        key = np.concatenate([whole, joined[~same], spot]).view(np.int64)
         ids = pa.array(rows)
         cols = {c: batch.column(batch.schema.get_field_index(c)).take(ids) for c in ("id", "line")}
-        yield pa.RecordBatch.from_pydict({"key": pa.array(key), "kind": pa.array(kind), **cols})
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys[0]), "key2": pa.array(keys[1]), "kind": pa.array(kind), **cols})
 
 
 def _shared(rows: DataFrame, keys: str) -> DataFrame:
     """Rows that have one of their keys in common with another row."""
     each = rows.select("id", "line", F.explode(keys).alias("key"))
-    twice = W.Window.partitionBy("key")
-    span = each.select("id", "line", F.min(F.struct("id", "line")).over(twice).alias("a"), F.max(F.struct("id", "line")).over(twice).alias("b"))
-    return span.where("not (a <=> b)").select("id", "line").distinct()
+    at = F.struct("id", "line")
+    twice = each.groupBy("key").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count("*").alias("size")).where("not (a <=> b)")
+    twice = cut(twice.select("key", "size"), small=True)
+    # most rows have no key of those; the join is exact
+    total = twice.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
+    return join_hot(maybe_in(each, "key", twice.select("key")), twice, "key", "size", total).select("id", "line").distinct()
 
 
 def doomed_lines(docs: DataFrame, key: str = "doc_id", parts: int = 8) -> DataFrame:
     """(id, line): the lines of ``docs`` that go, lines numbered from 0.
 
-    A line of at least MIN_CHARS code points goes if it is within one edit (a code point inserted, deleted or replaced)
-    of a line that stands earlier, by document key (null first) and then line number; lines are judged on the input,
-    not on what is left. Equal lines first shrink to their earliest. Two exact filters narrow the rest before variants
-    are made: lines within one edit agree in all but one half, and in all but one eighth. Variants that meet at equal
-    hashed keys give each line its earliest possible partner by a minimum per key, combined before the shuffle, so a
-    key shared by very many lines costs a row each and no pairs; the partner's edit distance is then verified.
+    A line goes if it equals a line that stands earlier, by document key (null first) and then line number, or if both
+    have at least MIN_CHARS code points and are within one edit (a code point inserted, deleted or replaced); lines are
+    judged on the input, not on what is left. Lines without a word stay. Equal lines, by 128 bits, first shrink to
+    their earliest. Two exact filters narrow the rest before variants are made: lines within one edit agree in all but
+    one half, and in all but one eighth. Variants that meet at equal hashed keys give each line its earliest possible
+    partner by a minimum per key, combined before the shuffle, so a key shared by very many lines costs a row each and
+    no pairs; the partner's edit distance is then verified. Ties (repeated rows of one key) count as one place.
     """
     texts = docs.select(F.col(key).cast("long").alias("id"), "text")
     scanned = cut(map_arrow(texts, _scan, "id long, line long, k1 long, k2 long, halves array<long>"))
@@ -148,11 +156,11 @@ def doomed_lines(docs: DataFrame, key: str = "doc_id", parts: int = 8) -> DataFr
     chosen = _shared(fetched, "parts")
     chosen = cut(fetched.join(chosen, fetched.id.eqNullSafe(chosen.id) & (fetched.line == chosen.line), "left_semi"))
     # read twice below and made twice: that costs less than to keep them
-    variants = map_arrow(chosen.select("id", "line", "own"), _variants, "key long, kind byte, id long, line long")
+    variants = map_arrow(chosen.select("id", "line", "own"), _variants, "key long, key2 long, kind byte, id long, line long")
     order = F.struct("id", "line")
-    mins = variants.groupBy(F.col("key").alias("k")).agg(*[F.min(F.when(F.col("kind") == i, order)).alias(f"m{i}") for i in range(3)], F.count("*").alias("n")).where("n > 1")
+    mins = variants.groupBy(F.col("key").alias("k"), F.col("key2").alias("k0")).agg(*[F.min(F.when(F.col("kind") == i, order)).alias(f"m{i}") for i in range(3)], F.count("*").alias("n")).where("n > 1")
     partner = F.when(F.col("kind") == 0, F.col("m1")).when(F.col("kind") == 1, F.col("m0")).otherwise(F.col("m2"))
-    met = variants.join(mins, F.col("key") == F.col("k")).where(partner < order).select(F.col("id").alias("own_id"), F.col("line").alias("own_line"), partner.alias("with"))
+    met = variants.join(mins, (F.col("key") == F.col("k")) & (F.col("key2") == F.col("k0"))).where(partner < order).select(F.col("id").alias("own_id"), F.col("line").alias("own_line"), partner.alias("with"))
     pairs = met.distinct()
     side = chosen.select(F.struct("id", "line").alias("at"), F.col("own").alias("other"))
     verified = pairs.join(chosen, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_line") == F.col("line"))).select("k1", "k2", "own", "with").join(side, F.col("with").eqNullSafe(F.col("at")))
@@ -165,20 +173,23 @@ def doomed_lines(docs: DataFrame, key: str = "doc_id", parts: int = 8) -> DataFr
 def dedup_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` with the lines that go taken out of ``text``, and ``n_lines`` and ``n_removed``.
 
-    Texts without such lines are not shuffled. A null text stays null with no lines; an empty one has one line. Rows of
-    one key count as one document: lines of one number go in all of them. ``docs`` must not have columns named ``n_lines``, ``n_removed`` or with ``__``.
+    Texts without such lines are not shuffled. A null text stays null with no lines; an empty one has one line; texts
+    of any length are read whole, and one text's work grows in proportion to its lines. Rows of one key count as one
+    document: lines of one number go in all of them. Columns of ``docs`` named n_lines or n_removed stay, with an
+    underscore after their names.
     """
-    gone = cut(doomed_lines(docs, key).groupBy(F.col("id").alias("__gone_id")).agg(F.collect_set("line").alias("__gone")))
-    rows = docs.withColumn("__id", F.col(key).cast("long"))
-    out = maybe_in(rows, "__id", gone.select("__gone_id")).join(gone, F.col("__id").eqNullSafe(F.col("__gone_id")), "left").drop("__gone_id")
-    whole = maybe_in(rows, "__id", gone.select("__gone_id"), anti=True).withColumn("__gone", F.lit(None).cast("array<bigint>"))
-    out = out.unionByName(whole)
-    lines = F.split(F.col("text"), "\n")
-    left = F.filter(lines, lambda _, i: ~F.array_contains(F.col("__gone"), i.cast("long")))
-    out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-    out = out.withColumn("n_removed", F.when(F.col("text").isNull() | F.col("__gone").isNull(), 0).otherwise(F.size(F.filter("__gone", lambda x: x < F.col("n_lines")))).cast("long"))
-    return out.withColumn("text", F.when(F.col("n_removed") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))).drop("__id", "__gone")
+    docs = free_names(docs, ["n_lines", "n_removed"])
+    gone = doomed_lines(docs.select(key, "text"), key)
+    gone = cut(gone.groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("line").alias("gone")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("id"))
+    out = maybe_in(rows, "id", gone.select("gone_id")).join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left").select("row", "gone")
+    out = out.unionByName(maybe_in(rows, "id", gone.select("gone_id"), anti=True).select("row", F.lit(None).cast("array<bigint>").alias("gone")))
+    lines = F.split(F.col("row.text"), "\n")
+    out = out.withColumn("n_lines", F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
+    out = out.withColumn("n_removed", F.when(F.col("n_lines").eqNullSafe(0) | F.col("gone").isNull(), 0).otherwise(F.size(F.filter("gone", lambda x: x < F.col("n_lines")))).cast("long"))
+    left = F.array_except(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_lines") - 1, F.lit(0).cast("long"))), F.col("gone"))
+    text = F.when(F.col("n_removed") > 0, F.array_join(F.transform(left, lambda i: F.get(lines, i.cast("int"))), "\n")).otherwise(F.col("row.text"))
+    return out.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], "n_lines", "n_removed")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
@@ -189,11 +200,11 @@ def op10(spark, sf_dir: str) -> DataFrame:
 SQL = f"""
 with t as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
 a as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as no from t),
-l as (select line, min((doc_id, no)) as first from a where length(line) >= {MIN_CHARS} group by line),
-v as (select line, first, unnest(range(1, length(line) + 1)) as p from l),
+l as (select line, min((doc_id, no)) as first from a where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by line),
+v as (select line, first, unnest(range(1, length(line) + 1)) as p from l where length(line) >= {MIN_CHARS}),
 x as (select line, first, p, hash(substr(line, 1, p - 1) || substr(line, p + 1)) as h from v),
 s as (select line, first, min(first) over (partition by h, p) as m from x),
-w as (select x.line, x.first, l.line as other, l.first as with_first from x join l on hash(l.line) = x.h),
+w as (select x.line, x.first, l.line as other, l.first as with_first from x join l on hash(l.line) = x.h where length(l.line) >= {MIN_CHARS}),
 near as (
   select line from s where m < first
   union select line from w where with_first < first

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
-from .common import cut, map_arrow, maybe_in, string_buffers, sub_batches
+from .common import cut, join_hot, map_arrow, maybe_in, string_buffers, sub_batches
 from .graph import components
 from .sketch import band_keys, set_keys, shingle_sets, sketches
 
-BLOCK = 512_000  # a block's weight: its sets' sizes and 1000 for each set
+BLOCK = 512_000  # a block's weight, about: its sets' sizes and 1000 for each set
 WORDS, PERCENT = 5, 80
 #: Rows and bands by least similarity in per cent. A pair at 85 shares none of 28 bands of 5 with a chance of 7e-8, a
 #: pair at 80 none of 34 bands of 4 with one of 2e-8.
@@ -26,9 +25,9 @@ def banding(percent: int) -> tuple[int, int]:
 def _sketch(batches, words: int, rows: int, bands: int):
     for batch in sub_batches(batches):
         data, offsets = string_buffers(batch.column(batch.schema.get_field_index("text")))
-        values, at = shingle_sets(data, offsets, words)
+        values, more, at = shingle_sets(data, offsets, words)
         keys = band_keys(sketches(values, at, rows * bands), rows).view(np.int64)
-        whole = set_keys(values, at).view(np.int64)
+        whole = set_keys(values, more, at).view(np.int64)
         n = np.diff(at)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
         yield pa.RecordBatch.from_pydict({"id": batch.column(batch.schema.get_field_index("id")), "n": pa.array(n), "k1": pa.array(whole[:, 0]), "k2": pa.array(whole[:, 1]), "bands": flat})
@@ -37,7 +36,7 @@ def _sketch(batches, words: int, rows: int, bands: int):
 def _sets(batches, words: int):
     for batch in sub_batches(batches):
         data, offsets = string_buffers(batch.column(batch.schema.get_field_index("text")))
-        values, at = shingle_sets(data, offsets, words)
+        values, _, at = shingle_sets(data, offsets, words)
         sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(8 * at), pa.py_buffer(values)])
         yield pa.RecordBatch.from_pydict({"id": batch.column(batch.schema.get_field_index("id")), "items": sets.cast(pa.binary())})
 
@@ -83,11 +82,18 @@ class Forest:
         return a != b
 
 
-def linked(ids: list, blocks: np.ndarray, cross: bool, sets: list[np.ndarray], percent: int) -> list[tuple]:
-    """Links that join the same documents as all pairs of the group with the similarity do, at most one less than its documents."""
+def linked(ids: list, parts: np.ndarray, blocks: np.ndarray, cross: bool, sets: list[np.ndarray], percent: int) -> list[tuple]:
+    """Links that join what all pairs of sets of different ``parts`` with the similarity join, less than there are sets.
+
+    With ``cross`` only sets of different ``blocks`` are compared.
+    """
     n = len(sets)
     size = np.array([len(s) for s in sets])
     forest, found = Forest(n), []
+    for part in np.unique(parts):
+        same = np.flatnonzero(parts == part)
+        for i in same[1:].tolist():
+            forest.join(int(same[0]), i)
     order = np.argsort(size, kind="stable")
     ranked = size[order]
     # a set can only be linked with sets of up to 100 / percent times its size
@@ -106,6 +112,7 @@ def linked(ids: list, blocks: np.ndarray, cross: bool, sets: list[np.ndarray], p
     held = 0
     for i in range(n):
         mates = order[i + 1 : upto[i]]
+        mates = mates[parts[mates] != parts[order[i]]]
         if cross:
             mates = mates[blocks[mates] != blocks[order[i]]]
         if len(mates):
@@ -120,33 +127,60 @@ def linked(ids: list, blocks: np.ndarray, cross: bool, sets: list[np.ndarray], p
     return found
 
 
-def _verify(batches, percent: int):
-    """Rows come sorted by (center, lo, hi); a group is verified once its last row has come."""
-    key, ids, blocks, sets = None, [], [], []
-
-    def close():
-        if len(ids) < 2:
-            return []
-        return linked(ids, np.array(blocks), key[1] != key[2], sets, percent)
-
+def _runs(batches, names: tuple[str, ...]):
+    """(key, rows) of each stretch of a batch whose columns ``names`` are alike; ``rows`` are (column values, set)."""
     for batch in batches:
-        out = []
         cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        keys = np.stack([cols[c].to_numpy(zero_copy_only=False) for c in ("center", "lo", "hi")], axis=1)
-        member, block = cols["id"].to_pylist(), cols["block"].to_pylist()
+        if not batch.num_rows:
+            continue
+        keys = np.stack([cols[c].to_numpy(zero_copy_only=False) for c in names], axis=1)
         data, offsets = string_buffers(cols["items"])
-        offsets = offsets.tolist()
-        raw = data.tobytes()
-        edges = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else [0]
+        offsets, raw = offsets.tolist(), data.tobytes()
+        more = {c: cols[c].to_pylist() for c in cols if c not in (*names, "items")}
+        edges = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)]
         for a, b in zip(edges, edges[1:]):
-            own = tuple(keys[a].tolist())
-            if own != key:
-                out += close()
-                key, ids, blocks, sets = own, [], [], []
-            ids += member[a:b]
-            blocks += block[a:b]
-            sets += [np.frombuffer(raw[offsets[i] : offsets[i + 1]], dtype=np.uint64) for i in range(a, b)]
+            yield tuple(keys[a].tolist()), {c: v[a:b] for c, v in more.items()}, [np.frombuffer(raw[offsets[i] : offsets[i + 1]], dtype=np.uint64) for i in range(a, b)]
+
+
+def _with_center(batches, percent: int):
+    """Links of centers with members of their groups. Rows come sorted, the center first: one set is held, no more."""
+    key, center = None, []
+
+    def near(a: np.ndarray, b: np.ndarray) -> bool:
+        if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+            return False
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= percent * (len(a) + len(b) - both)
+
+    for own, cols, sets in _runs(batches, ("center", "part")):
+        if own != key:
+            key, center = own, []
+        out = []
+        for i, member in zip(cols["id"], sets):
+            if i == own[0]:
+                center.append(member)  # one set, but for keys that repeat with other texts
+            elif any(near(c, member) for c in center):
+                out.append((own[0], i))
         yield _links(out)
+
+
+def _verify(batches, percent: int):
+    """Rows come sorted by (center, lo, hi); a cell is verified once its last row has come."""
+    key, held, sets = None, {"id": [], "part": [], "block": []}, []
+
+    def close():
+        if len(sets) < 2:
+            return []
+        return linked(held["id"], np.array(held["part"]), np.array(held["block"]), key[1] != key[2], sets, percent)
+
+    for own, cols, more in _runs(batches, ("center", "lo", "hi")):
+        if own != key:
+            if sets:
+                yield _links(close())
+            key, held, sets = own, {"id": [], "part": [], "block": []}, []
+        for c in held:
+            held[c] += cols[c]
+        sets += more
     yield _links(close())
 
 
@@ -154,17 +188,31 @@ def _links(found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
 
+def _blocks(weight: Column) -> Column:
+    return F.ceil(weight / F.lit(BLOCK)).cast("int")
+
+
+def _spread(column: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(column), blocks).cast("int")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``, whose key is a long.
 
     Documents are linked where their shingle sets have 100 * intersection >= percent * union; a component is all that
     links reach, named by its least key, and only that one is kept.
 
-    Equal sets are one class from the start, so groups of copies cost a row each and no pairs. Sketches of the classes
-    are cut in bands; classes that share a band go to a group named by the least of them, once for all bands with the
-    same least. A group's full sets are then compared, all with all, in blocks of bounded weight: a group of any size
-    is dealt over pairs of blocks, and each pair of blocks returns at most as many links as it has sets. Nothing is
-    capped; pairs are lost only if they share no band (see BANDS).
+    Equal sets (by 128 bits of each shingle) are one class from the start, so groups of copies cost a row each and no
+    pairs. Sketches of the classes are cut in bands; classes that share a band go to a group named by the least of
+    them, its center, once for all bands with the same center. Groups are verified on full sets in two steps:
+
+    1. every member with its center, a pair a member, so a near-copy group of any size costs a row a member;
+    2. members that the first step left in different components, all pairs across them. Of a group, those in its
+       largest component (the base) and the others are dealt in blocks of bounded weight; a base block meets each block
+       of the others, and these meet each other. Where few are left out, a base set travels once.
+
+    Both steps return forests, not pairs. Nothing is capped; pairs are lost only if they share no band (see BANDS). Sets
+    are compared by 64 bits a shingle.
 
     Null or wordless texts have no shingles and are linked with nothing; rows with the same key count as one document;
     rows with a null key are linked with nothing and kept. Empty tables give none.
@@ -175,22 +223,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = WORDS, pe
     marks = cut(map_arrow(texts, lambda it: _sketch(it, words, rows, bands), schema))
     full = marks.where("n > 0 and id is not null")
     classes = cut(full.groupBy("k1", "k2").agg(F.min("id").alias("rep")), small=True)
-    reps = full.join(classes, ["k1", "k2"]).where("id = rep").dropDuplicates(["k1", "k2"]).select("id", "n", "bands")
+    reps = cut(full.join(classes, ["k1", "k2"]).where("id = rep").dropDuplicates(["k1", "k2"]).select("id", "n", "bands"))
     banded = reps.select("id", "n", F.explode("bands").alias("band"))
-    in_band = W.Window.partitionBy("band")
-    members = banded.select("id", "n", F.min("id").over(in_band).alias("center"), F.count("*").over(in_band).alias("size"))
-    members = members.where("size > 1").select("center", "id", "n").distinct()
-    upto = W.Window.partitionBy("center").orderBy("id").rowsBetween(W.Window.unboundedPreceding, 0)
-    placed = members.withColumn("block", F.floor(F.sum(F.col("n") + 1000).over(upto) / BLOCK).cast("int"))
-    placed = cut(placed.withColumn("last", F.max("block").over(W.Window.partitionBy("center"))), small=True)
-    mates = placed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    mates = mates.select("center", F.least("block", "mate").alias("lo"), F.greatest("block", "mate").alias("hi"), "id", "block")
-    wanted = placed.select("id").distinct()
-    # the join below is exact; here most texts are set aside without a shuffle
-    sets = map_arrow(maybe_in(texts, "id", wanted), lambda it: _sets(it, words), "id long, items binary")
-    grouped = mates.join(sets, "id").repartition("center", "lo", "hi").sortWithinPartitions("center", "lo", "hi")
-    found = map_arrow(grouped.select("center", "lo", "hi", "id", "block", "items"), lambda it: _verify(it, percent), "a long, b long")
-    groups = components(found)
+    met = cut(banded.groupBy("band").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1"), small=True)
+    members = join_hot(banded, met, "band", "size", reps.count() * bands).select("center", "id", "n").distinct()
+    members = cut(members, small=True)
+
+    per = members.groupBy("center").agg(F.count("*").alias("size"), F.sum(F.col("n") + 1000).alias("weight"))
+    per = cut(per.select("center", "size", _blocks(F.col("weight")).alias("blocks")), small=True)
+    total = members.count()
+    dealt = join_hot(members.where("id <> center"), per, "center", "size", total).select("center", "id", _spread("id", F.col("blocks")).alias("part"))
+    centers = per.select("center", F.col("center").alias("id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    # the joins below are exact; here most texts are set aside without a shuffle
+    sets = map_arrow(maybe_in(texts, "id", members.select("id")), lambda it: _sets(it, words), "id long, items binary")
+    to_center = dealt.unionByName(centers).join(sets, "id").withColumn("later", F.col("id") != F.col("center"))
+    to_center = to_center.repartition("center", "part").sortWithinPartitions("center", "part", "later").select("center", "part", "id", "items")
+    found = cut(map_arrow(to_center, lambda it: _with_center(it, percent), "a long, b long"), small=True)
+    stars = cut(components(found), small=True)
+
+    # the center has been compared with all; of the others, those in different components are left
+    rest = members.where("id <> center").join(stars, F.col("id") == F.col("node"), "left").select("center", "id", "n", F.coalesce("component", "id").alias("part"))
+    rest = cut(rest, small=True)
+    parts = rest.groupBy("center", "part").agg(F.count("*").alias("size"), F.sum(F.col("n") + 1000).alias("weight"))
+    open_ = parts.groupBy("center").agg(F.sum("size").alias("size"), F.max_by("part", F.struct("weight", "part")).alias("base"), F.max("weight").alias("base_weight"), F.sum("weight").alias("weight"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = open_.select("center", "size", "base", _blocks(F.col("base_weight")).alias("base_blocks"), _blocks(F.col("weight") - F.col("base_weight")).alias("other_blocks"))
+    cells = join_hot(rest, cut(open_, small=True), "center", "size", total)
+    inside = F.col("part") == F.col("base")
+    # blocks of the base are numbered -1, -2, ..., those of the others 0, 1, ...
+    cells = cells.withColumn("block", F.when(inside, -1 - _spread("id", F.col("base_blocks"))).otherwise(_spread("id", F.col("other_blocks"))))
+    others = F.sequence(F.lit(0), F.col("other_blocks") - 1)
+    mates = F.when(inside, others).otherwise(F.concat(F.sequence(-F.col("base_blocks"), F.lit(-1)), others))
+    cells = cells.withColumn("mate", F.explode(mates)).select("center", F.least("block", "mate").alias("lo"), F.greatest("block", "mate").alias("hi"), "id", "part", "block")
+    grouped = cells.join(sets, "id").repartition("center", "lo", "hi").sortWithinPartitions("center", "lo", "hi")
+    more = map_arrow(grouped.select("center", "lo", "hi", "id", "part", "block", "items"), lambda it: _verify(it, percent), "a long, b long")
+    more = cut(more, small=True)
+    groups = stars if more.isEmpty() else components(found.union(more))
     named = classes.join(groups, classes.rep == groups.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))
     out = marks.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("c")).otherwise(F.col("id"))

@@ -4,39 +4,42 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import flat_words, mix64, prefix_hash, segment_index, span_hash
+from .common import flat_words, mix64, segment_index, span_digests
 
 ROWS, BANDS = 5, 28
 SIZE = ROWS * BANDS
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's shingles, end to end, and the texts' offsets.
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles, end to end, 64 more bits of each, and the texts' offsets.
 
     A-Z count as a-z. A text with fewer words than a shingle has its whole sequence as one, a text without words none.
     """
     kept, word_at, first = flat_words(data, offsets, lower=True)
-    word = span_hash(prefix_hash(kept), word_at[:-1], word_at[1:])
+    lanes = span_digests(kept, word_at[:-1], word_at[1:])
     n = np.diff(first)
     texts = len(n)
     made = np.where(n >= words, n - words + 1, np.minimum(n, 1))
     at = np.concatenate([[0], np.cumsum(made)])
     start = np.arange(at[-1]) - np.repeat(at[:-1] - first[:-1], made)
     left = np.repeat(first[1:], made) - start  # words from the shingle's first to the text's end
-    value = np.full(len(start), 0x51ED270B, dtype=np.uint64)
+    values = [np.full(len(start), 0x51ED270B, dtype=np.uint64) for _ in lanes]
     for k in range(words):
         inside = left > k
-        if inside.all():
-            value = mix64(value * np.uint64(0x9E3779B97F4A7C15) + word[start + k])
-        elif inside.any():
-            value[inside] = mix64(value[inside] * np.uint64(0x9E3779B97F4A7C15) + word[start[inside] + k])
-    out, sizes = [], np.zeros(texts, dtype=np.int64)
+        if not inside.any():
+            break
+        some = slice(None) if inside.all() else inside
+        for value, word in zip(values, lanes):
+            value[some] = mix64(value[some] * np.uint64(0x9E3779B97F4A7C15) + word[start[some] + k])
+    one, two, sizes = [], [], np.zeros(texts, dtype=np.int64)
     for i, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):
         if b > a:
-            own = np.unique(value[a:b])
+            own, where = np.unique(values[0][a:b], return_index=True)
             sizes[i] = len(own)
-            out.append(own)
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
+            one.append(own)
+            two.append(values[1][a + where])
+    flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return flat(one), flat(two), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def sketches(values: np.ndarray, at: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -84,11 +87,11 @@ def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-def set_keys(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """128 bits of each whole set, as two columns."""
+def set_keys(one: np.ndarray, two: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """128 bits of each whole set, of all 128 bits of its items, as two columns."""
     n = len(at) - 1
     out = np.zeros((n, 2), dtype=np.uint64)
-    for k, seed in enumerate((0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(values ^ np.uint64(seed)), dtype=np.uint64)])
+    for k, values in enumerate((mix64(one ^ mix64(two)), mix64(two + mix64(one ^ np.uint64(0x9FB21C651E98DF25))))):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
         out[:, k] = mix64(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64))
     return out

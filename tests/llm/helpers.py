@@ -45,3 +45,11 @@ ODD = [
 
 def odd(spark):
     return spark.createDataFrame(ODD, SCHEMA)
+
+
+def thue_morse(size: int) -> tuple[str, str]:
+    """Two words whose sums of letters times powers are alike modulo 2**64, for any odd base, from 1024 letters on."""
+    word = "a"
+    while len(word) < size:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from docgraph.llm import graph, neardup, sketch, vectors
 
-from .helpers import odd
+from .helpers import odd, thue_morse
 
 
 def shingles(text, words):
@@ -62,6 +62,35 @@ def test_blocks(spark, monkeypatch):
     assert run(spark, texts) == brute(texts, 5, 80)
 
 
+def test_words_of_equal_sums_are_no_equal_words(spark):
+    one, two = thue_morse(1024)
+    texts = {k: t for k, t in enumerate([one, two, *thue_morse(512), *thue_morse(4096), one + " a b c d e", two + " a b c d e", one.upper()])}
+    assert run(spark, texts) == brute(texts, 5, 80)
+
+
+def test_long_chains_of_neighbours(spark, monkeypatch):
+    """Each text is near the next one only: few are near a group's center, the others are compared with each other."""
+    monkeypatch.setattr(neardup, "BLOCK", 6_000)
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(9000)}" for _ in range(400)]
+    texts = {(i * 37) % 101: " ".join(words[2 * i : 2 * i + 60]) for i in range(101)}
+    assert run(spark, texts, words=3, percent=85) == brute(texts, 3, 85)
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs at the threshold and above, of few and of many words: none may be lost (the chance of one is below 1e-4)."""
+    rng = random.Random(12)
+    texts, pairs = {}, []
+    for k in range(300):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(rng.choice([12, 40, 150]))]
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(words[: max(6, len(words) - len(words) // 12)])
+        a, b = shingles(texts[2 * k], 5), shingles(texts[2 * k + 1], 5)
+        if 100 * len(a & b) >= 80 * len(a | b):
+            pairs.append((2 * k, 2 * k + 1))
+    got = run(spark, texts)
+    assert len(pairs) > 100 and all(got[b][1] == a for a, b in pairs)
+
+
 def test_odd_rows(spark):
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.near_duplicates(odd(spark)).collect())
     assert got == [(0, 0, True), (1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 4, False), (5, 4, False), (6, 6, True), (7, 7, True), (8, 8, True)]

@@ -13,7 +13,7 @@ import pytest
 from docgraph.llm import chat, classifier, linedup, mixing, quality, sharding
 from pyspark.sql import functions as F
 
-from .helpers import ODD, SCHEMA, odd, same
+from .helpers import ODD, SCHEMA, odd, same, thue_morse
 
 # ---- quality rules
 
@@ -279,11 +279,13 @@ def near(a, b):
 
 
 def brute_lines(texts):
-    lines = [(i, n, x) for i in sorted(texts) if texts[i] is not None for n, x in enumerate(texts[i].split("\n"))]
-    gone = defaultdict(set)
-    for k, (i, n, x) in enumerate(lines):
-        if len(x) >= linedup.MIN_CHARS and any(len(y) >= linedup.MIN_CHARS and near(x, y) for _, _, y in lines[:k]):
+    """Lines that hold a word go if they equal an earlier one, or are long enough and within one edit of such a one."""
+    lines = [(i, n, x) for i in sorted(texts) if texts[i] is not None for n, x in enumerate(texts[i].split("\n")) if x.strip(" \t\n\v\f\r")]
+    gone, seen = defaultdict(set), {}
+    for i, n, x in lines:
+        if x in seen or len(x) >= linedup.MIN_CHARS and any(len(y) >= linedup.MIN_CHARS and near(x, y) for y in seen):
             gone[i].add(n)
+        seen[x] = True
     return {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) if gone[i] else t for i, t in texts.items()}
 
 
@@ -313,6 +315,26 @@ def test_lines_of_repeated_keys(spark):
     assert len(got) == 4 and "\n".join(many) in [r.text for r in got] and sorted(r.n_removed for r in got if r.doc_id == 2 and r.text is None) == [0]
 
 
+def test_short_lines_and_blank_ones(spark):
+    texts = {1: "yes\n\n \t\nno", 2: "yes\n\nyet", 3: "yes", 4: " \t\nNo"}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in linedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: (texts[1], 4, 0), 2: ("\nyet", 3, 1), 3: ("", 1, 1), 4: (texts[4], 2, 0)}
+
+
+@pytest.mark.parametrize("size", [512, 1024, 4096])
+def test_lines_of_equal_sums_are_no_equal_lines(spark, size):
+    one, two = thue_morse(size)
+    df = spark.createDataFrame([(1, one), (2, two), (3, two + "q"), (4, one[:-1] + "q")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in linedup.dedup_lines(df).collect()} == {1: 0, 2: 0, 3: 1, 4: 1}
+
+
+def test_lines_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a\na", 7, "x", 5, "g")], "doc_id long, text string, n_lines long, N_removed string, __gone long, id string")
+    out = linedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "n_lines_", "N_removed_", "__gone", "id", "n_lines", "n_removed"]
+    assert tuple(out.head()) == (1, "a", 7, "x", 5, "g", 2, 1)
+
+
 def test_very_common_line(spark):
     df = spark.createDataFrame([(i, f"own line number {i * 7919:08d} of this text here\nthe very common line that all texts hold{'!' * (i % 2)}") for i in range(500)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in linedup.dedup_lines(df).collect()}
@@ -347,7 +369,9 @@ def test_pipeline_against_brute_force(spark, sf):
     text = lambda df: {r.doc_id: r.text for r in df.collect()}
     same(kept.select("doc_id", F.lit(True).alias("kept")), f"select doc_id, kept from ({quality.SQL}) where kept", documents=docs.toPandas(), labels=labels)
     assert text(lined) == brute_lines(text(kept))
-    assert text(near_) == {i: t for i, t in text(lined).items() if brute(text(lined), 5, 80)[i][2]}
+    whole = text(lined)
+    groups = brute(whole, 5, 80)
+    assert text(near_) == {i: t for i, t in whole.items() if groups[i][2]}
     same(mixing.mix(near_.select(F.col("doc_id").alias("key"), "source", mixing.n_words(F.col("text")).alias("size"))).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken"), mixing.SQL, documents=near_.toPandas())
     words = Counter()
     for r in mixed_.collect():
