@@ -16,12 +16,12 @@ BREAK = "\u2060"
 
 
 def paths(kind: T.DataType, at: str = "") -> list[str]:
-    """Nested field paths with their types, arrays as ``[]``."""
+    """Nested field paths with their types, arrays as ``[]``; whole numbers of all widths are of one type."""
     if isinstance(kind, T.StructType):
         return [p for f in kind.fields for p in paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
     if isinstance(kind, T.ArrayType):
         return paths(kind.elementType, f"{at}[]")
-    return [f"{at}:{kind.simpleString()}"]
+    return [f"{at}:{'integer' if isinstance(kind, T.IntegralType) else kind.simpleString()}"]
 
 
 def fingerprint(schema: T.StructType) -> str:
@@ -37,12 +37,12 @@ def _key(*found: str) -> str:
 #: fields, ``fixed`` lists (role, column) in order (null columns give no turn), ``rows`` names the columns of a table
 #: with one row a turn.
 MAPPINGS = {
-    _key("conv_id:bigint", "turn:bigint", "role:string", "text:string"): {"id": "conv_id", "rows": ("turn", "role", "text")},
-    _key("id:bigint", "prompt:string", "response:string"): {"id": "id", "fixed": (("user", "prompt"), ("assistant", "response"))},
-    _key("id:bigint", "prompt:string", "completion:string"): {"id": "id", "fixed": (("user", "prompt"), ("assistant", "completion"))},
-    _key("id:bigint", "instruction:string", "input:string", "output:string"): {"id": "id", "fixed": (("user", "instruction+input"), ("assistant", "output"))},
-    _key("id:bigint", "messages[].role:string", "messages[].content:string"): {"id": "id", "turns": ("messages", "role", "content")},
-    _key("id:bigint", "conversations[].from:string", "conversations[].value:string"): {"id": "id", "turns": ("conversations", "from", "value")},
+    _key("conv_id:integer", "turn:integer", "role:string", "text:string"): {"id": "conv_id", "rows": ("turn", "role", "text")},
+    _key("id:integer", "prompt:string", "response:string"): {"id": "id", "fixed": (("user", "prompt"), ("assistant", "response"))},
+    _key("id:integer", "prompt:string", "completion:string"): {"id": "id", "fixed": (("user", "prompt"), ("assistant", "completion"))},
+    _key("id:integer", "instruction:string", "input:string", "output:string"): {"id": "id", "fixed": (("user", "instruction+input"), ("assistant", "output"))},
+    _key("id:integer", "messages[].role:string", "messages[].content:string"): {"id": "id", "turns": ("messages", "role", "content")},
+    _key("id:integer", "conversations[].from:string", "conversations[].value:string"): {"id": "id", "turns": ("conversations", "from", "value")},
 }
 #: Names of roles in other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "model": "assistant", "bot": "assistant"}
@@ -53,7 +53,8 @@ def canonical(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
     ``columns`` names those to fingerprint where the table has others too.  A table of no known layout is an error
     that names its paths.  Null texts count as empty, null roles as ''; turns are ordered by number (null first), then
-    role and text, so repeated numbers have one order; a null id is an id of its own.
+    role and text, so repeated numbers have one order and repeated rows are turns of their own; a null id is an id of
+    its own; an empty table gives none. Texts of any length are taken whole; a conversation is put together in one task.
     """
     df = df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
     found = fingerprint(df.schema)

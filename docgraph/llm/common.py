@@ -89,20 +89,20 @@ def free_names(df: DataFrame, taken: list[str]) -> DataFrame:
     return df.select(*out)
 
 
-def running(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over all rows before each one, by ``order`` (null first).
+def running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Adds a column for each name in ``sums``: the sum of the column named there over all rows before each, by ``order``.
 
-    Rows are dealt to tasks by ranges of the order and numbered there; only one total a task is summed over all. So no
+    Rows are dealt to tasks by ranges of the order and summed there; only one total a task is summed over all. So no
     task holds more than its range, whatever the number of rows; ``order`` must tell nearly all rows apart.
     """
-    placed = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).withColumn("__range", F.spark_partition_id())
-    placed = cut(placed)
-    totals = placed.groupBy("__range").agg(F.sum(value).alias("__total"))  # a row a task
-    upto = W.Window.orderBy("__range").rowsBetween(W.Window.unboundedPreceding, -1)
-    totals = totals.select("__range", F.coalesce(F.sum("__total").over(upto), F.lit(0)).alias("__from"))
-    within = W.Window.partitionBy("__range").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(W.Window.unboundedPreceding, -1)
-    out = placed.withColumn("__in", F.coalesce(F.sum(value).over(within), F.lit(0))).join(F.broadcast(totals), "__range")
-    return out.withColumn(name, F.col("__from") + F.col("__in")).drop("__range", "__from", "__in")
+    placed = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    totals = placed.groupBy("__range").agg(*[F.sum(value).alias(f"__all_{name}") for name, value in sums.items()])  # a row a task
+    before = W.Window.orderBy("__range").rowsBetween(W.Window.unboundedPreceding, -1)
+    totals = totals.select("__range", *[F.coalesce(F.sum(f"__all_{name}").over(before), F.lit(0)).alias(f"__from_{name}") for name in sums])
+    within = W.Window.partitionBy("__range").orderBy(*order).rowsBetween(W.Window.unboundedPreceding, -1)
+    out = placed.withColumns({f"__in_{name}": F.coalesce(F.sum(value).over(within), F.lit(0)) for name, value in sums.items()})
+    out = out.join(F.broadcast(totals), "__range").withColumns({name: F.col(f"__from_{name}") + F.col(f"__in_{name}") for name in sums})
+    return out.drop("__range", *[f"__{part}_{name}" for name in sums for part in ("from", "in")])
 
 
 #: A key is hot if it has more rows than this, or than this share of all rows: so there are at most MOST_HOT hot keys.

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import WORD, cut, n_words
+from .common import WORD, cut, free_names, n_words, running
 
 EPOCHS = 3
 SEED = "mix-1"
 BROADCAST_ROWS = 10_000
+ADDED = ["source_size", "target", "turns", "more", "taken"]
 
 
 def targets(sizes: DataFrame, epochs: float = EPOCHS) -> DataFrame:
@@ -19,23 +20,15 @@ def targets(sizes: DataFrame, epochs: float = EPOCHS) -> DataFrame:
     Targets share the total by weight, none above ``epochs`` times its source.  Clamping sources and resharing the
     excess until none is above ends at one water level L with target = min(cap, L * weight).  Sources are sorted by
     cap / weight, the order in which they clamp as the level rises; the first one whose own ratio is at least the
-    level that is left after clamping all before it gives L.  One pass over the sources, nothing iterated.
+    level that is left after clamping all before it gives L.  One pass over the sources, nothing iterated, and no task
+    holds all of them.
     """
-    ratio = F.col("cap") / F.col("weight")
-    order = W.Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(W.Window.unboundedPreceding, -1)
-    whole = W.Window.partitionBy()
-    level = (F.col("all_size") - F.col("cap_before")) / (F.col("all_weight") - F.col("weight_before"))
-    out = sizes.withColumn("cap", F.col("source_size") * F.lit(epochs)).withColumn("ratio", ratio)
-    out = out.withColumns(
-        {
-            "all_size": F.sum("source_size").over(whole),
-            "all_weight": F.sum("weight").over(whole),
-            "cap_before": F.coalesce(F.sum("cap").over(order), F.lit(0)),
-            "weight_before": F.coalesce(F.sum("weight").over(order), F.lit(0)),
-        }
-    ).withColumn("level", level)
-    out = out.withColumn("water", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(whole)["level"])
-    return out.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("water"), F.lit(0.0)) * F.col("weight")))
+    out = sizes.withColumn("cap", F.col("source_size") * F.lit(epochs)).withColumn("ratio", F.col("cap") / F.col("weight"))
+    out = cut(running(out, [F.col("ratio").asc(), F.col("source").asc_nulls_last()], {"cap_before": "cap", "weight_before": "weight"}), small=True)
+    size, weight = out.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).head()
+    out = out.withColumn("level", (F.lit(size) - F.col("cap_before")) / (F.lit(weight) - F.col("weight_before")))
+    first = out.where(F.col("ratio") >= F.col("level")).agg(F.min(F.struct("ratio", "level")).alias("at")).head()["at"]
+    return out.withColumn("target", F.least(F.col("cap").cast("double"), F.lit(first["level"] if first else 0.0) * F.col("weight")))
 
 
 def _place(df: DataFrame, seed: str) -> DataFrame:
@@ -50,8 +43,8 @@ def plan(docs: DataFrame, sizes: DataFrame | None = None, seed: str = SEED, epoc
     buckets = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), small=True)
     total = buckets.groupBy("source").agg(F.sum("size").alias("source_size"))
     if sizes is None:
-        place = F.row_number().over(W.Window.orderBy(F.col("source").asc_nulls_last())) - 1
-        total = total.withColumn("weight", (place % 3 + 1).cast("long"))
+        total = running(total.withColumn("one", F.lit(1)), [F.col("source").asc_nulls_last()], {"place": "one"})
+        total = total.select("source", "source_size", (F.col("place") % 3 + 1).cast("long").alias("weight"))
     else:
         total = total.join(sizes.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     goal = targets(total, epochs)
@@ -96,8 +89,12 @@ def mix(docs: DataFrame, sizes: DataFrame | None = None, seed: str = SEED, epoch
     weight) gives others.
 
     Null sources form one source; rows of size 0 take 0; repeated rows are rows of their own; a mix of no words takes
-    none.  ``docs`` must not have columns named s, h, bucket, stop, rest, nth or as those added.
+    none.  Columns of ``docs`` named as those added stay, with an underscore after their names.
     """
+    docs = free_names(docs, ADDED)
+    names = docs.columns
+    others = [F.col(f"`{c}`") for c in names if c not in ("key", "source", "size")]
+    docs = docs.select("key", "source", "size", (F.struct(*others) if others else F.lit(None)).alias("row"))
     goal, edge = plan(docs.select("key", "source", "size"), sizes, seed, epochs)
     joined = _with(_place(docs, seed), goal)
     inside = F.coalesce(F.col("bucket") == F.col("stop"), F.lit(False))
@@ -108,7 +105,7 @@ def mix(docs: DataFrame, sizes: DataFrame | None = None, seed: str = SEED, epoch
     at = joined.where(inside).withColumn("nth", nth).join(e, same).drop("nth", "e_source", "e_key", "e_size", "e_nth")
     out = rest.unionByName(at).withColumn("turns", F.coalesce("turns", F.lit(0)).cast("long")).withColumn("more", F.coalesce("more", F.lit(0)).cast("long"))
     out = out.withColumn("taken", (F.col("turns") * F.col("size") + F.col("more")).cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "source_size", "target", "turns", "more", "taken")
+    return out.select(*[F.col(c) if c in ("key", "source", "size") else F.col(f"row.`{c}`").alias(c) for c in names], *ADDED)
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", seed: str = SEED) -> DataFrame:

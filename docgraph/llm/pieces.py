@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 from functools import cache
 
 import numpy as np
@@ -15,7 +14,6 @@ from .common import map_arrow, string_buffers, sub_batches
 
 SPACE, MARK = 0x20, 0x2581
 NONE = np.int32(2**31 - 1)
-LONG = 192  # words of more symbols are merged one by one from a heap: rounds would be as many as symbols
 BATCH = 2 << 20
 
 
@@ -65,8 +63,9 @@ class Vocabulary:
             for k in range(1, len(name)):
                 if (a := symbols.get(name[:k])) is not None and (b := symbols.get(name[k:])) is not None:
                     pairs[(a, b)] = (rank[scores[name]], i)
-        self.pairs = pairs
         self._table(pairs)
+        # characters that stand side by side in some piece: no merge ever runs over any other pair of them
+        self.beside = np.array(sorted({ord(a) << 21 | ord(b) for name in plain for a, b in zip(name, name[1:])}) or [0], dtype=np.int64)
         sizes = np.array([len(b) for b in self.bytes])
         self.byte_at = np.concatenate([[0], np.cumsum(sizes)])
         self.flat = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
@@ -91,6 +90,11 @@ class Vocabulary:
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def never_merge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether no piece holds these characters (code points) side by side."""
+        pair = np.where(left == SPACE, MARK, left).astype(np.int64) << 21 | np.where(right == SPACE, MARK, right)
+        return self.beside[np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)] != pair
+
     def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of each pair of symbols; rank NONE where they make no piece."""
         key = left.astype(np.int64) << 32 | right.astype(np.int64)
@@ -112,42 +116,45 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def merge_long(v: Vocabulary, symbols: list[int]) -> list[int]:
-    """The same merges for one long word, best pair first, leftmost among equals, from a heap."""
-    n, sym = len(symbols), list(symbols)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(v.pairs[p][0], i, p) for i in range(n - 1) if (p := (sym[i], sym[i + 1])) in v.pairs]
-    heapq.heapify(heap)
-    while heap:
-        _, i, pair = heapq.heappop(heap)
-        j = after[i] if sym[i] is not None else n
-        if j >= n or (sym[i], sym[j]) != pair:
-            continue
-        sym[i], sym[j] = v.pairs[pair][1], None
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        for a, b in ((before[i], i), (i, after[i])):
-            if 0 <= a and b < n and (p := (sym[a], sym[b])) in v.pairs:
-                heapq.heappush(heap, (v.pairs[p][0], a, p))
-    return [s for s in sym if s is not None]
+def _merged_at_once(v: Vocabulary, sym, word, rank, made, at, least) -> np.ndarray:
+    """Of the places ``at`` of their words' least pairs, in order, those to merge in one round.
+
+    One by one, the leftmost least pair is merged first, then the next. All of a word may go at once (every other one
+    where they overlap) unless that makes a pair on the way that would have come before the next one: then only the
+    leftmost goes.
+    """
+    new_word = np.append(True, word[at[1:]] != word[at[:-1]])
+    chained = np.append(False, (at[1:] == at[:-1] + 1) & ~new_word[1:])
+    head = np.flatnonzero(~chained)
+    odd = (np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))) % 2
+    leftmost, at = at[new_word], at[odd == 0]
+    n = len(sym)
+    first, last = np.append(-1, word)[at], np.append(word, -1)[np.minimum(at + 2, n)]
+    merged = np.zeros(n, dtype=bool)
+    merged[at] = True
+    # the new symbol with the one on its left as it is by then, and with the one on its right as it still is
+    left = np.where(merged[np.maximum(at - 2, 0)] & (at >= 2), made[np.maximum(at - 2, 0)], sym[np.maximum(at - 1, 0)])
+    before, _ = v.look(left, made[at])
+    before[first != word[at]] = NONE
+    after, _ = v.look(made[at], sym[np.minimum(at + 2, n - 1)])
+    after[last != word[at]] = NONE
+    unsafe = word[at[np.minimum(before, after) <= least[at]]]
+    if not len(unsafe):
+        return at
+    at = at[~np.isin(word[at], unsafe)]
+    return np.sort(np.concatenate([at, leftmost[np.isin(word[leftmost], unsafe)]]))
 
 
 def merge_rounds(v: Vocabulary, sym: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merge the symbols of many words at once; ``first`` holds the words' offsets. Returns symbols and offsets.
 
-    Each round finds every word's least pair rank by a segmented minimum, merges its leftmost such pair in all words
-    together, closes the gaps, and sets aside words that have no pair left.
+    Each round finds every word's least pair rank by a segmented minimum, merges its pairs of that rank in all words
+    together (see ``_merged_at_once``), closes the gaps, and sets aside words that have no pair left.
     """
     n_words = len(first) - 1
     done: list[tuple[np.ndarray, np.ndarray]] = []  # (symbols, word of each)
-    size = np.diff(first)
-    for w in np.flatnonzero(size > LONG):
-        got = merge_long(v, sym[first[w] : first[w + 1]].tolist())
-        done.append((np.array(got, dtype=np.int32), np.full(len(got), w)))
-    word = np.repeat(np.arange(n_words), size)
-    live = (size <= LONG)[word]
-    sym, word = sym[live].astype(np.int32), word[live]
+    word = np.repeat(np.arange(n_words), np.diff(first))
+    sym = sym.astype(np.int32)
     rank, made = np.full(len(sym), NONE, dtype=np.int32), np.zeros(len(sym), dtype=np.int32)
     if len(sym):
         rank[:-1], made[:-1] = v.look(sym[:-1], sym[1:])
@@ -167,8 +174,10 @@ def merge_rounds(v: Vocabulary, sym: np.ndarray, first: np.ndarray) -> tuple[np.
             if not len(sym):
                 break
             starts, least = np.flatnonzero(head), least[~over]
-        at = np.flatnonzero(rank == np.repeat(least, np.diff(np.append(starts, len(sym)))))
-        at = at[np.append(True, word[at[1:]] != word[at[:-1]])]
+        least = np.repeat(least, np.diff(np.append(starts, len(sym))))
+        at = np.flatnonzero(rank == least)
+        if len(at) > len(starts):
+            at = _merged_at_once(v, sym, word, rank, made, at, least)
         sym[at] = made[at]
         keep = np.ones(len(sym), dtype=bool)
         keep[at + 1] = False
@@ -227,8 +236,14 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     raw, at = string_buffers(coded.dictionary)
     chars = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
     place = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    sym, first = merge_rounds(v, v.of_char[chars], place[at])
-    ids, first = to_ids(v, sym, first)
+    # words are parted further where no piece runs over two characters, so that few rounds see long ones
+    edge = np.zeros(len(chars) + 1, dtype=bool)
+    edge[1:-1] = v.never_merge(chars[:-1], chars[1:])
+    edge[place[at]] = True
+    edge = np.flatnonzero(edge)
+    sym, parts = merge_rounds(v, v.of_char[chars], edge)
+    ids, parts = to_ids(v, sym, parts)
+    first = parts[np.searchsorted(edge, place[at])]
     count = np.diff(first)[which]
     end = np.cumsum(count)
     spread = np.arange(end[-1] if len(end) else 0) - np.repeat(end - count - first[:-1][which], count)

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
-from .common import cut, let, maybe_in
+from .common import cut, let, maybe_in, running
 
 SYMBOLS = "#*$%&|<>"
 ALPHA = 0.05  # of good documents, at most this share is rejected by all rules together, per stratum
@@ -107,10 +106,11 @@ def certify(holdout: DataFrame, stratum: str, good: str, rules=None, alpha: floa
     tests = wide.select("stratum", "n", F.explode(rows).alias("t")).select("stratum", "n", "t.*")
     # above its mean the tail is no small one: no need to sum it
     tests = tests.withColumn("p", F.when(F.col("k") >= F.col("n") * each, F.lit(1.0)).otherwise(binomial_tail(F.col("k"), F.col("n"), each)))
-    order = W.Window.orderBy("p", F.col("stratum").asc_nulls_first(), "rule", F.col("cutoff").desc())
-    passed = F.col("p") <= F.lit(delta) / (F.count("*").over(W.Window.partitionBy()) - F.row_number().over(order) + 1)
-    holm = tests.withColumn("passed", passed).withColumn("upto", F.min(F.col("passed").cast("int")).over(order.rowsBetween(W.Window.unboundedPreceding, 0)))
-    return holm.where("upto = 1").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    order = [F.col("p").asc(), F.col("stratum").asc_nulls_first(), F.col("rule").asc(), F.col("cutoff").desc()]
+    ranked = cut(running(tests.withColumn("one", F.lit(1)), order, {"rank": "one"}), small=True)
+    failed = ranked.where(F.col("p") > F.lit(delta) / (F.lit(ranked.count()) - F.col("rank"))).agg(F.min("rank")).head()[0]
+    holm = ranked if failed is None else ranked.where(F.col("rank") < failed)
+    return holm.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "doc_id") -> DataFrame:

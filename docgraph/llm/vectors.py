@@ -18,8 +18,9 @@ from .neardup import Forest
 
 COSINE = 0.95
 LEADING = 6  # principal dimensions of the grid
+BOXED = 16  # principal dimensions of the boxes that prove intervals apart
 BLOCK = 4096  # vectors of an interval of the order that one task joins with another interval
-MOST_BLOCKS = 1 << 17  # above BLOCK * MOST_BLOCKS vectors, intervals grow instead: their boxes go to every task
+SUPER = 1024  # intervals whose box goes to the driver as one: about 300 bytes for each four million vectors
 LEAF = 256
 
 
@@ -80,6 +81,8 @@ def apart(low_a, high_a, low_b, high_b, eps: float) -> np.ndarray:
 def near_pairs(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, same: bool, cosine: float, eps: float):
     """Index pairs with the cosine, by recursion over halves of both sequences until provably apart or small."""
     stack = [(0, len(x), 0, len(y))]
+    rough, wide = x.astype(np.float32), y.astype(np.float32)
+    least = np.float32(cosine - 2e-7 * (x.shape[1] + 8))  # what single precision can lose of a sum of so many products
     while stack:
         a, b, c, d = stack.pop()
         if a >= b or c >= d or same and d <= a:
@@ -87,7 +90,12 @@ def near_pairs(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, same:
         if apart(p[a:b].min(axis=0), p[a:b].max(axis=0), q[c:d].min(axis=0), q[c:d].max(axis=0), eps):
             continue
         if b - a <= LEAF and d - c <= LEAF:
-            i, j = np.nonzero(x[a:b] @ y[c:d].T >= cosine)
+            i, j = np.nonzero(rough[a:b] @ wide[c:d].T >= least)
+            if len(i) > (b - a) * (d - c) // 8:
+                i, j = np.nonzero(x[a:b] @ y[c:d].T >= cosine)
+            elif len(i):
+                sure = (x[a + i] * y[c + j]).sum(axis=1) >= cosine
+                i, j = i[sure], j[sure]
             i, j = i + a, j + c
             if same:
                 i, j = i[i < j], j[i < j]
@@ -104,8 +112,7 @@ def near_pairs(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, same:
 def _join(rows: pd.DataFrame, axes: np.ndarray, cosine: float, eps: float) -> pd.DataFrame:
     """Links of one pair of intervals: how many each vector has, and a forest that joins what they join."""
     sides = [g for _, g in rows.groupby("block", sort=True)]
-    pair = rows.pair.iloc[0]
-    same = pair[0] == pair[1]
+    same = rows.lo.iloc[0] == rows.hi.iloc[0]
     if not same and len(sides) < 2:
         return pd.DataFrame({"id": [], "links": [], "other": []}).astype("int64")
     sides = [s.sort_values(["order", "id"], kind="stable") for s in sides]
@@ -127,8 +134,8 @@ def _join(rows: pd.DataFrame, axes: np.ndarray, cosine: float, eps: float) -> pd
     return pd.DataFrame({"id": [ids[k] for k in has] + [a for a, _ in found], "links": [*links[has].tolist(), *([0] * len(found))], "other": [ids[k] for k in has] + [b for _, b in found]}).astype("int64")
 
 
-def _partners(frames, low: np.ndarray, high: np.ndarray, eps: float):
-    """For each interval, the later ones it may have links with: halves of the sequence are skipped by their boxes."""
+def _partners(frames, names: np.ndarray, low: np.ndarray, high: np.ndarray, eps: float):
+    """For each box, the later ones that are not apart from it: halves of the sequence are skipped by their boxes."""
     levels = [(low, high)]
     while len(levels[-1][0]) > 1:
         lo, hi = levels[-1]
@@ -145,17 +152,35 @@ def _partners(frames, low: np.ndarray, high: np.ndarray, eps: float):
                 here = here[~apart(low[i], high[i], lo[here], hi[here], eps)]
                 if depth:
                     here = np.concatenate([here * 2, here * 2 + 1])
-            out += [(i, i, int(j)) for j in here] + [(int(j), i, int(j)) for j in here if j != i]
-        yield pd.DataFrame(out, columns=["block", "lo", "hi"]).astype("int64")
+            out += [(names[i], names[i], names[j]) for j in here] + [(names[j], names[i], names[j]) for j in here if j != i]
+        yield pd.DataFrame(out, columns=["named", "lo", "hi"]).astype("int64")
 
 
-def _link(reps: DataFrame, dim: int, cosine: float) -> DataFrame:
-    """(id, links, other) of the classes of one dimension."""
-    spark = reps.sparkSession
+def _box_columns(n: int) -> tuple[list[str], list[str]]:
+    return [f"low{k}" for k in range(n)], [f"high{k}" for k in range(n)]
+
+
+def _near_boxes(rows: pd.DataFrame, n: int, eps: float) -> pd.DataFrame:
+    """Pairs of intervals that are not apart, of one pair of stretches of SUPER intervals: a row for each of the two."""
+    low, high = _box_columns(n)
+    rows = rows.sort_values("block", kind="stable")
+    left, right = rows[rows.super == rows.lo.iloc[0]], rows[rows.super == rows.hi.iloc[0]]
+    other, far, near = right.block.to_numpy(), right[low].to_numpy(), right[high].to_numpy()
+    out = []
+    for block, a, b in zip(left.block.to_numpy(), left[low].to_numpy(), left[high].to_numpy()):
+        found = other[(other >= block) & ~apart(a, b, far, near, eps)]
+        out.append(np.stack([np.full(len(found), block), np.full(len(found), block), found], axis=1))
+        found = found[found > block]
+        out.append(np.stack([found, np.full(len(found), block), found], axis=1))
+    return pd.DataFrame(np.concatenate(out), columns=["named", "lo", "hi"]).astype("int64")
+
+
+def interval_order(reps: DataFrame, dim: int, cosine: float) -> tuple[DataFrame, np.ndarray, float]:
+    """Vectors in the grid order with the number of their interval (``block``) and their place in it, the leading axes,
+    and the distance that the cosine means."""
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine))) * (1 + 1e-9)
-    n = reps.count()
-    axes = principal(reps, dim, LEADING)
-    grid = [f"c{k}" for k in range(axes.shape[1])]
+    axes = principal(reps, dim, BOXED)
+    grid = [f"c{k}" for k in range(min(LEADING, axes.shape[1]))]
 
     def place(batches):
         for batch in batches:
@@ -165,22 +190,36 @@ def _link(reps: DataFrame, dim: int, cosine: float) -> DataFrame:
                 more = {c: pa.array(cells[:, k]) for k, c in enumerate(grid)} | {f"p{k}": pa.array(p[:, k]) for k in range(p.shape[1])}
                 yield pa.RecordBatch.from_pydict({**{c: batch.column(i) for i, c in enumerate(batch.schema.names)}, **more})
 
-    kinds = ", ".join([*[f"{c} long" for c in grid], *[f"p{k} double" for k in range(len(grid))]])
-    blocks = max(1, min(MOST_BLOCKS, -(-n // BLOCK)))
+    kinds = ", ".join([*[f"{c} long" for c in grid], *[f"p{k} double" for k in range(axes.shape[1])]])
+    blocks = max(1, -(-reps.count() // BLOCK))
     placed = map_arrow(reps.select("id", "times", "vector"), place, f"id long, times long, vector binary, {kinds}")
     # the grid order: by cell, dimension by dimension; within a cell by the first projection, so that hot cells part
     ordered = placed.repartitionByRange(blocks, *grid, "p0", "id").sortWithinPartitions(*grid, "p0", "id")
-    ordered = cut(ordered.withColumn("block", F.spark_partition_id().cast("long")).withColumn("order", F.monotonically_increasing_id()))
-    boxes = ordered.groupBy("block").agg(*[f(f"p{k}").alias(f"{n}{k}") for n, f in (("low", F.min), ("high", F.max)) for k in range(len(grid))]).toPandas().sort_values("block")
-    names = boxes.block.to_numpy()
-    low, high = (boxes[[f"{n}{k}" for k in range(len(grid))]].to_numpy() for n in ("low", "high"))
-    todo = visible(spark).range(len(names)).mapInPandas(lambda it: _partners(it, low, high, eps), "block long, lo long, hi long")
-    numbers = spark.createDataFrame([(int(b), i) for i, b in enumerate(names)], "named long, block long") if len(names) else None
-    if numbers is None:
-        return spark.createDataFrame([], "id long, links long, other long")
-    dealt = todo.join(F.broadcast(numbers), "block").select("named", F.struct("lo", "hi").alias("pair"))
-    rows = ordered.select("id", "times", "vector", "block", "order").join(dealt, F.col("block") == F.col("named")).drop("named")
-    return rows.groupBy("pair").applyInPandas(lambda g: _join(g.assign(pair=[tuple(v.values()) if isinstance(v, dict) else tuple(v) for v in g.pair]), axes, cosine, eps), "id long, links long, other long")
+    return cut(ordered.withColumn("block", F.spark_partition_id().cast("long")).withColumn("order", F.monotonically_increasing_id())), axes, eps
+
+
+def interval_pairs(ordered: DataFrame, n: int, eps: float) -> DataFrame:
+    """(named, lo, hi): pairs of intervals that are not proved apart, a row for each interval of a pair.
+
+    Boxes of SUPER intervals are compared first; only stretches that are not apart have their intervals' boxes compared.
+    """
+    spark = visible(ordered.sparkSession)
+    low, high = _box_columns(n)
+    spans = [f(f"p{k}").alias(c) for names, f in ((low, F.min), (high, F.max)) for k, c in enumerate(names)]
+    boxes = cut(ordered.groupBy("block").agg(*spans).withColumn("super", F.floor(F.col("block") / SUPER)), small=True)
+    wide = boxes.groupBy("super").agg(*[F.min(c).alias(c) for c in low], *[F.max(c).alias(c) for c in high]).toPandas().sort_values("super")
+    names, lows, highs = wide.super.to_numpy(), wide[low].to_numpy(), wide[high].to_numpy()
+    stretches = spark.range(len(names)).mapInPandas(lambda it: _partners(it, names, lows, highs, eps), "named long, lo long, hi long")
+    met = boxes.join(stretches, F.col("super") == F.col("named")).drop("named")
+    return met.groupBy("lo", "hi").applyInPandas(lambda g: _near_boxes(g, n, eps), "named long, lo long, hi long")
+
+
+def _link(reps: DataFrame, dim: int, cosine: float) -> DataFrame:
+    """(id, links, other) of the classes of one dimension."""
+    ordered, axes, eps = interval_order(reps, dim, cosine)
+    pairs = interval_pairs(ordered, axes.shape[1], eps)
+    rows = ordered.select("id", "times", "vector", "block", "order").join(pairs, F.col("block") == F.col("named")).drop("named")
+    return rows.groupBy("lo", "hi").applyInPandas(lambda g: _join(g, axes, cosine, eps), "id long, links long, other long")
 
 
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -188,9 +227,10 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
 
     Equal vectors are one class with a count. Classes are sorted in the grid order of their leading principal
     dimensions and cut in intervals; pairs of intervals whose boxes are further apart than the distance that the
-    cosine means are skipped by proof, all others joined exactly in double precision, recursively, with the same proof
-    down to 256 vectors. A task returns a count per vector and a forest, not its links, so dense groups cost no more
-    rows than they have vectors.
+    cosine means are skipped by proof, all others joined exactly, recursively, with the same proof down to 256 vectors:
+    by products in single precision less what that can lose, then in double precision. A task returns a count per
+    vector and a forest, not its links, so dense groups cost no more rows than they have vectors. Vectors without any
+    structure (all directions alike) leave nothing to skip: then every interval meets every other.
 
     Null, empty and zero vectors and those that hold nulls or non-finite components are linked with nothing; vectors
     of other dimensions are only compared with their like; rows of one key count as one node; rows with a null key are
@@ -207,7 +247,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
         links = part if links is None else links.union(part)
     if links is None:
         links = df.sparkSession.createDataFrame([], "id long, links long, other long")
-    links = cut(links, small=True)
+    links = cut(links)
     groups = components(links.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     named = reps.select("class", "id", "times").join(counts, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")

@@ -38,12 +38,13 @@ def test_random_texts_as_the_library():
     assert [b.decode() for b in back] == [SP.decode(SP.encode(t)) for t in texts]
 
 
-def test_long_words_by_heap_and_rounds_agree(monkeypatch):
+def test_long_words_as_the_library():
     rng = random.Random(6)
-    texts = ["".join(rng.choice("abcde") for _ in range(150)) for _ in range(40)]
-    one = both(texts)
-    monkeypatch.setattr(pieces, "LONG", 10)
-    assert both(texts) == one
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("abcde", "aab", "=-", "ntio", "한글é") for n in (150, 700, 3000)]
+    texts += [unit * (2000 // len(unit)) for unit in ("a", "ab", "aab", "tion", "=", "na", "the", "ss")]
+    got, back = both(texts)
+    assert got == [SP.encode(t) for t in texts]
+    assert [b.decode() for b in back] == texts
 
 
 def test_nulls_empties_repeats_and_extra_columns(spark):
