@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_words, map_arrow, mix64, segment_index, string_buffers, sub_batches, word_hashes
+from .common import flat_words, map_arrow, mix64, read, segment_index, string_buffers, sub_batches, word_hashes
 
 BITS = 17
 DIM = 16
@@ -177,7 +177,7 @@ def held_out(key: Column) -> Column:
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = read(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
     out = score(docs, model, ["doc_id"])
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, cut, free_names, join_hot, map_arrow, maybe_in, mix64, span_digests, string_buffers, sub_batches
+from .common import _SPACE, cut, free_names, join_hot, map_arrow, maybe_in, mix64, read, span_digests, string_buffers, sub_batches
 from .rolling import Rolling
 
 MIN_CHARS = 20  # shorter lines only go if they equal an earlier one: one edit makes too many of them alike
@@ -193,7 +193,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

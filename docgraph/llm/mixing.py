@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import WORD, cut, free_names, n_words, running
+from .common import WORD, cut, free_names, n_words, read, running
 
 EPOCHS = 3
 SEED = "mix-1"
@@ -128,7 +128,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", seed: str = SEED) -> DataFrame:
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     rows = docs.select(F.col("doc_id").alias("key"), "source", n_words(F.col("text")).alias("size"))
     out = mix(cut(rows))
     return out.select(F.col("key").alias("doc_id"), "size", F.col("source_size").cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "taken")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, map_arrow, maybe_in, string_buffers, sub_batches
+from .common import cut, join_hot, map_arrow, maybe_in, read, string_buffers, sub_batches
 from .graph import components
 from .sketch import band_keys, set_keys, shingle_sets, sketches
 
@@ -273,7 +273,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = WORD
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", words=3, percent=85)
+    return near_duplicates(read(spark, sf_dir, "documents"), "doc_id", words=3, percent=85)
 
 
 SQL = r"""

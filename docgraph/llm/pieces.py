@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_arrow, string_buffers, sub_batches
+from .common import map_arrow, read, string_buffers, sub_batches
 
 SPACE, MARK = 0x20, 0x2581
 NONE = np.int32(2**31 - 1)
@@ -314,5 +314,5 @@ def model_path() -> str:
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     return tokenize(docs, model_path(), ["doc_id"], ("n_tokens", "ids_sha256", "decoded_sha256"))

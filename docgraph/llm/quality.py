@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, maybe_in, running
+from .common import cut, let, maybe_in, read, running
 
 SYMBOLS = "#*$%&|<>"
 ALPHA = 0.05  # of good documents, at most this share is rejected by all rules together, per stratum
@@ -21,25 +21,33 @@ RULES = {
 
 
 def _windows(words: Column) -> Column:
-    """Sorted (hash of a 3-word window, place) of a word array of 3 words or more."""
-    hashed = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(words[i], words[i + 1], words[i + 2]).alias("h"), i.alias("i")))
-    return F.sort_array(hashed)
+    """Hashes of the 3-word windows of a word array of 3 words or more, each word hashed once."""
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return let(hashed, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(h[i], h[i + 1], h[i + 2])))
 
 
 def repeated_words(words: Column) -> Column:
     """Number of words that lie in a 3-word window that the array holds twice or more.
 
-    Windows are sorted by hash, those equal to a neighbour keep their places, and the union of the places' spans of
-    three words is measured in place order: everything is linear or sorting, within the row.
+    Most texts repeat no window, which their distinct hashes show. Else windows are sorted by hash, those equal to a
+    neighbour keep their places, and the union of the places' spans of three words is measured in place order:
+    everything is linear or sorting, within the row.
     """
 
-    def spans(windows: Column) -> Column:
+    def spans(hashes: Column) -> Column:
+        windows = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return let(windows, lambda w: let(F.sort_array(F.transform(repeated(w), lambda x: x["i"])), covered))
+
+    def repeated(windows: Column) -> Column:
         n = F.size(windows)
-        same = F.filter(windows, lambda w, k: ((k > 0) & (windows[F.greatest(k - 1, F.lit(0))]["h"] == w["h"])) | ((k + 1 < n) & (windows[F.least(k + 1, n - 1)]["h"] == w["h"])))
-        places = F.sort_array(F.transform(same, lambda w: w["i"]))
-        return let(places, lambda p: F.aggregate(F.transform(p, lambda x, k: F.when(k == 0, 3).otherwise(F.least(F.lit(3), x - p[F.greatest(k - 1, F.lit(0))]))), F.lit(0).cast("long"), lambda a, x: a + x))
+        return F.filter(windows, lambda w, k: ((k > 0) & (windows[F.greatest(k - 1, F.lit(0))]["h"] == w["h"])) | ((k + 1 < n) & (windows[F.least(k + 1, n - 1)]["h"] == w["h"])))
+
+    def covered(places: Column) -> Column:
+        return F.aggregate(F.transform(places, lambda x, k: F.when(k == 0, 3).otherwise(F.least(F.lit(3), x - places[F.greatest(k - 1, F.lit(0))]))), F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(_windows(words), spans))
+    none = F.lit(0).cast("long")
+    counted = let(_windows(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(spans(h)))
+    return F.when(F.size(words) < 4, none).otherwise(counted)
 
 
 def figures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -145,7 +153,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: st
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = read(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = judge(docs, labels)
     return out.select(F.col("__key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

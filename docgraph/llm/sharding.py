@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT_ROWS, MOST_HOT, cut, free_names, running
+from .common import HOT_ROWS, MOST_HOT, cut, free_names, read, running
 
 BITS = 4
 
@@ -128,7 +128,7 @@ def op7(spark, sf_dir: str) -> DataFrame:
     Equal texts stand side by side in the order of the slots. They share a shard unless the end of a run falls inside
     their group: the law fixes the counts, and a group may be larger than a shard.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     narrow = docs.select("doc_id", "lang", "source", "n_chars", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("text_md5"))
     out = shard(narrow, "doc_id", ["lang", "source", "n_chars"], group="text_md5")

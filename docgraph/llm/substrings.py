@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, maybe_in, mix64, span_digests, string_buffers, sub_batches
+from .common import cut, map_arrow, maybe_in, mix64, read, span_digests, string_buffers, sub_batches
 from .induced import common_prefixes, suffix_array
 
 LENGTH = 100  # bytes of a string that counts as repeated
@@ -474,7 +474,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, g
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
