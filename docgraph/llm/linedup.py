@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, cut, free_names, join_hot, map_arrow, maybe_in, mix64, read, span_digests, string_buffers, sub_batches
+from .common import _SPACE, cut, free_names, join_hot, let, map_arrow, maybe_in, mix64, read, running, span_digests, string_buffers, sub_batches
 from .rolling import Rolling
 
 MIN_CHARS = 20  # shorter lines only go if they equal an earlier one: one edit makes too many of them alike
@@ -118,15 +118,15 @@ def _variants(batches):
         rows = np.concatenate([np.arange(len(whole)), row[~same], row])
         kind = np.concatenate([np.zeros(len(whole)), np.ones((~same).sum()), np.full(len(row), 2)]).astype(np.int8)
         ids = pa.array(rows)
-        cols = {c: batch.column(batch.schema.get_field_index(c)).take(ids) for c in ("id", "line")}
-        yield pa.RecordBatch.from_pydict({"key": pa.array(keys[0]), "key2": pa.array(keys[1]), "kind": pa.array(kind), **cols})
+        no = batch.column(batch.schema.get_field_index("no")).take(ids)
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys[0]), "key2": pa.array(keys[1]), "kind": pa.array(kind), "no": no})
 
 
 def _shared(rows: DataFrame, keys: str) -> DataFrame:
     """Rows that have one of their keys in common with another row."""
     each = rows.select("id", "line", F.explode(keys).alias("key"))
-    at = F.struct("id", "line")
-    twice = each.groupBy("key").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count("*").alias("size")).where("not (a <=> b)")
+    at = F.xxhash64("id", "line")
+    twice = each.groupBy("key").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count("*").alias("size")).where("a <> b")
     twice = cut(twice.select("key", "size"), small=True)
     # most rows have no key of those; the join is exact
     total = twice.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
@@ -155,15 +155,16 @@ def doomed_lines(docs: DataFrame, key: str = "doc_id", parts: int = 8) -> DataFr
     fetched = cut(fetched)
     chosen = _shared(fetched, "parts")
     chosen = cut(fetched.join(chosen, fetched.id.eqNullSafe(chosen.id) & (fetched.line == chosen.line), "left_semi"))
+    places = running(chosen.select("id", "line").distinct().withColumn("one", F.lit(1)), [F.col("id").asc_nulls_first(), F.col("line").asc()], {"no": "one"})
+    places = places.select(F.col("id").alias("p_id"), F.col("line").alias("p_line"), F.col("no").cast("long").alias("no"))
+    chosen = cut(chosen.join(places, F.col("id").eqNullSafe(F.col("p_id")) & (F.col("line") == F.col("p_line"))).select("k1", "k2", "no", "own"))
     # read twice below and made twice: that costs less than to keep them
-    variants = map_arrow(chosen.select("id", "line", "own"), _variants, "key long, key2 long, kind byte, id long, line long")
-    order = F.struct("id", "line")
-    mins = variants.groupBy(F.col("key").alias("k"), F.col("key2").alias("k0")).agg(*[F.min(F.when(F.col("kind") == i, order)).alias(f"m{i}") for i in range(3)], F.count("*").alias("n")).where("n > 1")
+    variants = map_arrow(chosen.select("no", "own"), _variants, "key long, key2 long, kind byte, no long")
+    mins = variants.groupBy(F.col("key").alias("k"), F.col("key2").alias("k0")).agg(*[F.min(F.when(F.col("kind") == i, F.col("no"))).alias(f"m{i}") for i in range(3)], F.count("*").alias("n")).where("n > 1")
     partner = F.when(F.col("kind") == 0, F.col("m1")).when(F.col("kind") == 1, F.col("m0")).otherwise(F.col("m2"))
-    met = variants.join(mins, (F.col("key") == F.col("k")) & (F.col("key2") == F.col("k0"))).where(partner < order).select(F.col("id").alias("own_id"), F.col("line").alias("own_line"), partner.alias("with"))
-    pairs = met.distinct()
-    side = chosen.select(F.struct("id", "line").alias("at"), F.col("own").alias("other"))
-    verified = pairs.join(chosen, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_line") == F.col("line"))).select("k1", "k2", "own", "with").join(side, F.col("with").eqNullSafe(F.col("at")))
+    met = variants.join(mins, (F.col("key") == F.col("k")) & (F.col("key2") == F.col("k0"))).where(partner < F.col("no")).select("no", partner.alias("with"))
+    side = chosen.select(F.col("no").alias("with"), F.col("own").alias("other"))
+    verified = met.distinct().join(chosen, "no").join(side, "with")
     verified = verified.where(F.levenshtein("own", "other", 1) >= 0).select("k1", "k2").distinct().withColumn("near", F.lit(True))
     classes = first.select("k1", "k2", "first").join(verified, ["k1", "k2"], "left")
     gone = scanned.select("k1", "k2", "id", "line").join(classes, ["k1", "k2"])
@@ -184,11 +185,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("id"))
     out = maybe_in(rows, "id", gone.select("gone_id")).join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left").select("row", "gone")
     out = out.unionByName(maybe_in(rows, "id", gone.select("gone_id"), anti=True).select("row", F.lit(None).cast("array<bigint>").alias("gone")))
-    lines = F.split(F.col("row.text"), "\n")
-    out = out.withColumn("n_lines", F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-    out = out.withColumn("n_removed", F.when(F.col("n_lines").eqNullSafe(0) | F.col("gone").isNull(), 0).otherwise(F.size(F.filter("gone", lambda x: x < F.col("n_lines")))).cast("long"))
+    out = out.withColumn("n_lines", F.coalesce(F.length("row.text") - F.length(F.translate("row.text", "\n", "")) + 1, F.lit(0)).cast("long"))
+    out = out.withColumn("n_removed", F.when(F.col("gone").isNull(), 0).otherwise(F.size(F.filter("gone", lambda x: x < F.col("n_lines")))).cast("long"))
     left = F.array_except(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_lines") - 1, F.lit(0).cast("long"))), F.col("gone"))
-    text = F.when(F.col("n_removed") > 0, F.array_join(F.transform(left, lambda i: F.get(lines, i.cast("int"))), "\n")).otherwise(F.col("row.text"))
+    kept = let(F.split(F.col("row.text"), "\n"), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i.cast("int"))), "\n"))
+    text = F.when(F.col("n_removed") > 0, kept).otherwise(F.col("row.text"))
     return out.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], "n_lines", "n_removed")
 
 
