@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -84,7 +85,7 @@ def dimensions(df: DataFrame) -> DataFrame:
 
 
 class EmbeddingCache:
-    """Parquet table (cache_key, embedding), appended to with what was missing."""
+    """Parquet table (cache_key, embedding, put_at); of a key that was put again the last embedding counts."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -92,18 +93,19 @@ class EmbeddingCache:
     def table(self) -> DataFrame:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         if hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.read.parquet(self.path)
+            stored = self.spark.read.parquet(self.path)
+            return stored.groupBy("cache_key").agg(F.max_by("embedding", "put_at").alias("embedding"))
         return self.spark.createDataFrame([], "cache_key string, embedding array<float>")
 
     def lookup(self, keyed: DataFrame) -> DataFrame:
         """``keyed`` (with cache_key) and its embedding, null where missing."""
-        return keyed.join(self.table().dropDuplicates(["cache_key"]), "cache_key", "left")
+        return keyed.join(self.table(), "cache_key", "left")
 
     def misses(self, keyed: DataFrame) -> DataFrame:
         return keyed.join(self.table().select("cache_key"), "cache_key", "left_anti")
 
     def put(self, rows: DataFrame) -> None:
-        rows.select("cache_key", "embedding").write.mode("append").parquet(self.path)
+        rows.select("cache_key", "embedding", F.lit(time.time_ns()).alias("put_at")).write.mode("append").parquet(self.path)
 
 
 def embed_cached(df: DataFrame, embedder, cache: EmbeddingCache, text: str = "document") -> DataFrame:

@@ -43,6 +43,42 @@ def completeness(chunks: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return chunks.groupBy("query").agg(*flags).select("query", total.alias("score"), *wanted)
 
 
+# The phrases that tell classes of questions apart, the interfaces looked for, and the points.
+INTERFACES = {"display": "Sponsored Display", "brands": "Sponsored Brands", "products": "Sponsored Products"}
+
+
+def answered(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query, question, score): how far the chunks found (query, document, type, source_file) can answer a question.
+
+    What a question needs goes by its class: how-to questions an endpoint and a schema, questions for fields a schema
+    and properties, questions for interfaces several of them, questions for errors such texts and status codes; others
+    any chunk. Questions without chunks score 0.
+    """
+    document, source, said = F.lower("document"), F.lower("source_file"), F.lower("question")
+    found = F.lit(None)
+    for part, name in reversed(INTERFACES.items()):
+        found = F.when(source.contains(part), name).otherwise(found)
+    flags = chunks.groupBy("query").agg(
+        F.max(F.col("type") == "endpoint").alias("endpoint"),
+        F.max(F.col("type") == "schema").alias("schema"),
+        F.max(document.contains("properties")).alias("properties"),
+        F.max(document.contains("error")).alias("error"),
+        F.max(F.col("document").rlike(r"\b[45]\d{2}\b")).alias("codes"),
+        F.count_distinct(F.when(source.contains("sponsored"), found)).alias("interfaces"),
+        F.lit(True).alias("any"),
+    )
+    points = lambda name, n: F.when(F.col(name), n).otherwise(0.0)
+    has = lambda *phrases: F.lit(False) if not phrases else said.contains(phrases[0]) | has(*phrases[1:])
+    score = (
+        F.when(has("how do i", "how to"), points("endpoint", 0.6) + points("schema", 0.4))
+        .when(has("what fields", "what properties"), points("schema", 0.5) + points("properties", 0.5))
+        .when(has("which apis", "what apis"), F.least(F.lit(1.0), F.coalesce("interfaces", F.lit(0)) * 0.4))
+        .when(has("error"), points("error", 0.6) + points("codes", 0.4))
+        .otherwise(points("any", 0.8))
+    )
+    return questions.join(flags, "query", "left").select("query", "question", F.least(F.lit(1.0), score).alias("score"))
+
+
 def paired_t(scores: DataFrame, a: str, b: str) -> DataFrame:
     """(n, mean, t) of the paired differences."""
     d = scores.select((F.col(a) - F.col(b)).alias("d"))

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from docgraph.runtime import checkpoint_folder
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, so that the plans of later rounds stay small."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -27,17 +27,38 @@ def hybrid(semantic: DataFrame, keyword: DataFrame, limit: int, key: str = "id",
     return s.join(k, key, "full_outer").withColumn("score", score).orderBy("score", key).limit(limit)
 
 
-def weighted(chunks: DataFrame, words: dict[str, list[str]], limit: int, boost_type: str | None = None, key: str = "id") -> DataFrame:
-    """(key, score) descending: for each word or synonym 3 in the operation id, 2 in the document, 1 in the metadata, and
-    one more for a type; rows without any are left out."""
-    terms = list(dict.fromkeys(x.lower() for w, more in words.items() for x in (w, *more)))
+# Words that a question's word stands for, and the words that ask for a type of chunk.
+SYNONYMS = {
+    "campaign": ["campaigns", "campaignid"],
+    "create": ["post", "add", "new"],
+    "get": ["retrieve", "fetch", "show"],
+    "list": ["retrieve", "fetch", "show"],
+    "error": ["exception", "failure", "problem"],
+    "field": ["property", "attribute", "parameter"],
+}
+TYPE_WORDS = {"endpoint": ["create", "get", "list", "update", "delete"], "schema": ["field", "property", "schema", "object"]}
+
+
+def weighted_terms(query: str) -> tuple[list[str], str | None]:
+    """The words of a question with their synonyms, and the type of chunk that it asks for, if any."""
+    said = query.lower().split()
+    terms = list(dict.fromkeys(said + [x for w in said for x in SYNONYMS.get(w, [])]))
+    return terms, next((kind for kind, words in TYPE_WORDS.items() if any(w in terms for w in words)), None)
+
+
+def weighted(chunks: DataFrame, terms: list[str], limit: int, boost_type: str | None = None, key: str = "id") -> DataFrame:
+    """(key, score) descending: of each term 3 points if the operation id holds it, else 2 if the document does, else 1
+    if the metadata does, and one more for chunks of the type asked for, with a term or without; rows without points
+    are left out."""
     score = F.lit(0)
-    for term in terms:
-        for column, points in (("operation_id", 3), ("document", 2), ("metadata", 1)):
-            if column in chunks.columns:
-                score = score + F.when(F.lower(column).contains(term), points).otherwise(0)
+    for term in dict.fromkeys(t.lower() for t in terms):
+        holds = [(F.lower(c).contains(term), points) for c, points in (("operation_id", 3), ("document", 2), ("metadata", 1)) if c in chunks.columns]
+        best = F.when(*holds[0])
+        for more in holds[1:]:
+            best = best.when(*more)
+        score = score + best.otherwise(0)
     if boost_type:
-        score = score + F.when((score > 0) & (F.col("type") == boost_type), 1).otherwise(0)
+        score = score + F.when(F.col("type") == boost_type, 1).otherwise(0)
     return chunks.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), key).limit(limit)
 
 

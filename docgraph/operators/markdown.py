@@ -279,11 +279,28 @@ def validate(chunks: DataFrame) -> DataFrame:
     return fields.unionByName(twice).unionByName(lost)
 
 
+# What a chunk's metadata must hold, and of which type.
+REQUIRED = ["type", "source_file", "section_level", "title", "word_count", "chunk_index", "total_chunks", "content_hash"]
+INTEGERS = ["word_count", "section_level"]
+LIST_FIELDS = ["cross_doc_refs", "external_links", "internal_links", "child_sections", "sibling_sections", "document_tags"]
+BOOLEANS = ["has_code_blocks", "has_tables", "has_images", "is_split_section"]
+
+
+def validate_metadata(chunks: DataFrame) -> DataFrame:
+    """(id, problem): required fields that are absent or null, and fields of a wrong type where they hold a value."""
+    kinds = {f.name: f.dataType.typeName() for f in chunks.schema.fields}
+    problems = [F.when(F.col(c).isNull() if c in kinds else F.lit(True), F.lit(f"Missing required field: {c}")) for c in REQUIRED]
+    for names, right, said in ((INTEGERS, ("byte", "short", "integer", "long"), "must be an integer"), (LIST_FIELDS, ("array",), "must be a list"), (BOOLEANS, ("boolean",), "must be a boolean")):
+        problems += [F.when(F.col(c).isNotNull(), F.lit(f"{c} {said}")) for c in names if c in kinds and kinds[c] not in right]
+    return chunks.select("id", F.explode(F.filter(F.array(*problems), lambda x: x.isNotNull())).alias("problem"))
+
+
 def processing_stats(chunks: DataFrame) -> DataFrame:
-    per_type = chunks.groupBy("type").agg(F.count("*").alias("n"), F.sum("word_count").alias("words"))
-    total = chunks.agg(F.count_distinct("source_file").alias("total_files"), F.array_sort(F.collect_set("source_file")).alias("files"))
-    merged = per_type.agg(F.sum("n").alias("total_chunks"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("chunk_types"), F.round(F.sum("words") / F.sum("n"), 1).alias("average_words"), F.sum("words").alias("total_words"))
-    return merged.crossJoin(total)  # one row each
+    """One row: chunks in all and by type, words, files."""
+    per_type = chunks.groupBy("type").agg(F.count("*").alias("n"), F.sum("word_count").alias("words"), F.collect_set("source_file").alias("files"))
+    files = F.array_sort(F.array_distinct(F.flatten(F.collect_list("files"))))
+    total = per_type.agg(F.sum("n").alias("total_chunks"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("chunk_types"), F.round(F.sum("words") / F.sum("n"), 1).alias("average_words"), F.sum("words").alias("total_words"), files.alias("files"))
+    return total.withColumn("total_files", F.size("files"))
 
 
 def failures(parsed: DataFrame) -> DataFrame:

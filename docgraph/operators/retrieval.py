@@ -64,16 +64,16 @@ def _hit(row, reason: str, relevance: float, depth: int = 0) -> Hit:
 
 
 class Queue:
-    """First-in-first-out expansion over lookups; what it fetches is bounded by ``budget`` at any time."""
+    """First-in-first-out expansion over lookups, one for each depth: all of a depth wait before its first is due."""
 
-    def __init__(self, get: Callable[[list[str]], dict[str, Hit]], budget: int):
-        self.get, self.budget, self.known = get, budget, {}
+    def __init__(self, get: Callable[[list[str]], dict[str, Hit]]):
+        self.get, self.known = get, {}
 
     def fetch(self, waiting: list[tuple[str, int]], at: int) -> Hit | None:
-        """The chunk at the queue's head, looked up together with the next few behind it."""
-        name = waiting[at][0]
+        """The chunk at the queue's head, looked up together with all that wait at its depth."""
+        name, depth = waiting[at]
         if name not in self.known:
-            ahead = list(dict.fromkeys(i for i, _ in waiting[at : at + max(8, self.budget)] if i not in self.known))
+            ahead = list(dict.fromkeys(i for i, d in waiting[at:] if d == depth and i not in self.known))
             found = self.get(ahead)
             self.known.update({i: found.get(i) for i in ahead})
         return self.known[name]
@@ -93,7 +93,7 @@ def expand_references(get, seeds: list[Hit], max_depth: int, max_total: int) ->
 
     for s in seeds:
         again += enqueue(s, 1)
-    queue = Queue(get, max_total)
+    queue = Queue(get)
     while at < len(waiting) and len(out) < max_total:
         name, depth = waiting[at]
         at += 1
@@ -200,7 +200,7 @@ def get_chunks(get, ids: list[str], expand_depth: int = 3, max_total: int = 100)
     out: list[Hit] = []
     visited, at = {h.id for h in requested}, 0
     waiting = [(r, 1) for h in requested for r in h.ref_ids if r not in visited] if expand_depth > 0 else []
-    queue = Queue(get, max_total)
+    queue = Queue(get)
     while at < len(waiting) and len(requested) + len(out) < max_total:
         name, depth = waiting[at]
         at += 1

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping
 from functools import reduce
 from itertools import islice
@@ -180,20 +179,18 @@ class ChunkStore:
             raise RuntimeError("the store is not set up: call setup() first")
 
     def add(self, chunks: DataFrame, batch_size: int | None = None) -> None:
-        """Append; rows whose id is stored already are skipped."""
+        """Append, in ranges of the id, so that lookups read few row groups; rows whose id is stored already are skipped."""
         self._open()
-        if batch_size:
-            chunks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_size))
         if self.exists():
             chunks = chunks.join(self.chunks().select("id"), "id", "left_anti")
-            # a table cannot be read and written at once: the new rows are made whole beside it, then move in
-            beside = f"{self.path}/_new-{uuid.uuid4().hex}"
-            chunks.write.parquet(beside)
-            self.spark.read.parquet(beside).write.mode("append").parquet(self.table)
-            fs, path = self._fs(beside)
-            fs.delete(path, True)
-        else:
-            chunks.write.parquet(self.table)
+        conf, name = chunks.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(name)
+        try:
+            if batch_size:
+                conf.set(name, str(batch_size))
+            chunks.repartitionByRange("id").sortWithinPartitions("id").write.mode("append").parquet(self.table)
+        finally:
+            conf.set(name, before)
 
     def chunks(self) -> DataFrame:
         self._open()
@@ -210,7 +207,8 @@ class ChunkStore:
         self._open()
         return {"name": self.name, "count": self.count(), "metadata": {"hnsw:space": "cosine"}, "model": self.model, "device": self.device}
 
-    def health(self) -> dict:
+    def health(self, embedder=..., cache=...) -> dict:
+        """Whether the path, the collection, the embedder (by a trial) and the cache are there; the latter two if asked."""
         found = {"path": False, "collection": False, "count": 0, "errors": []}
         try:
             fs, path = self._fs(self.path)
@@ -219,6 +217,14 @@ class ChunkStore:
                 found["errors"].append("not set up")
             else:
                 found["count"], found["collection"] = self.count(), self.exists()
+            if embedder is not ...:
+                found["embedding_model"] = embedder is not None and len(embedder.encode(["test"])) > 0
+                if not found["embedding_model"]:
+                    found["errors"].append("no embedder" if embedder is None else "the embedder gives nothing")
+            if cache is not ...:
+                found["embedding_cache"] = cache is not None
+                if cache is None:
+                    found["errors"].append("no embedding cache")
         except Exception as e:  # whatever is broken is what the report is for
             found["errors"].append(str(e))
         return found | {"healthy": not found["errors"]}

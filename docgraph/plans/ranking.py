@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docgraph.operators import apiindex, evaluate, expansion, retrieval
+from docgraph.operators import apiindex, evaluate, expansion, markdown, retrieval
 
 from .registry import query, table
 
@@ -41,18 +41,52 @@ def expansion_merge(spark, sf_dir):
 
 @query("select count(*) as chunks, count(distinct source) as files, round(avg(len(regexp_extract_all(text, '\\S+'))), 1) as average_words, sum(len(regexp_extract_all(text, '\\S+')))::bigint as total_words from documents")
 def processing_stats(spark, sf_dir):
+    return markdown.processing_stats(_as_chunks(spark, sf_dir)).select(F.col("total_chunks").alias("chunks"), F.col("total_files").alias("files"), "average_words", "total_words")
+
+
+def _as_chunks(spark, sf_dir):
     words = F.regexp_count("text", F.lit(r"\S+"))
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("chunks"), F.count_distinct("source").alias("files"), F.round(F.avg(words), 1).alias("average_words"), F.sum(words).alias("total_words"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("document"), F.col("lang").alias("type"), F.col("source").alias("source_file"), words.alias("word_count"))
 
 
 @query("select lang as type, count(*) as n from documents group by lang")
 def chunk_type_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("type")).agg(F.count("*").alias("n"))
+    return markdown.processing_stats(_as_chunks(spark, sf_dir)).select(F.explode("chunk_types").alias("type", "n"))
+
+
+WRONG = ["Missing required field: total_chunks", "Missing required field: content_hash", "word_count must be an integer", "document_tags must be a list", "has_tables must be a boolean"]
+
+
+@query(
+    f"""select doc_id::varchar as id, unnest({WRONG}) as problem from documents
+    union all select doc_id::varchar, 'Missing required field: title' from documents where doc_id % 3 = 0
+    union all select doc_id::varchar, 'has_images must be a boolean' from documents where doc_id % 7 = 0"""
+)
+def metadata_validation(spark, sf_dir):
+    """Chunks with fields that are absent, null, or of a wrong type where they hold something."""
+    c = _as_chunks(spark, sf_dir).withColumn("n", F.col("id").cast("long"))
+    c = c.withColumns({"word_count": F.col("word_count").cast("string"), "title": F.when(F.col("n") % 3 > 0, F.col("type")), "section_level": F.lit(1), "chunk_index": F.lit(0)})
+    c = c.withColumns({"content_hash": F.lit(None).cast("string"), "document_tags": F.lit("a,b"), "has_tables": F.lit(1), "has_images": F.when(F.col("n") % 7 == 0, "yes"), "child_sections": F.array(F.lit("x")), "is_split_section": F.lit(False)})
+    return markdown.validate_metadata(c)
 
 
-@query("select list_sort(list(distinct source)) as files_searched from documents where contains(lower(source), 'src1')")
-def files_searched(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.lower("source").contains("SRC1".lower())).agg(F.array_sort(F.collect_set("source")).alias("files_searched"))
+@query(
+    """with q as (select distinct source, case regexp_extract(source, '[0-9]+')::int % 5 when 0 then 'How do I ' when 1 then 'What fields of ' when 2 then 'Which APIs have ' when 3 then 'the ERROR in ' else 'about ' end || source as question from documents),
+    f as (select source, max((lang = 'en')::int) as e, max((lang = 'fr')::int) as s, max(contains(lower(text), 'properties')::int) as p, max(contains(lower(text), 'error')::int) as r,
+      max(regexp_matches(text, '\\b[45][0-9]{2}\\b')::int) as c, count(distinct case when doc_id % 4 < 3 then doc_id % 4 end) as n from documents where regexp_extract(source, '[0-9]+')::int <> 19 group by source)
+    select q.source as query, question, round(coalesce(case regexp_extract(q.source, '[0-9]+')::int % 5 when 0 then 0.6 * e + 0.4 * s when 1 then 0.5 * s + 0.5 * p when 2 then least(1.0, 0.4 * n) when 3 then 0.6 * r + 0.4 * c
+      else case when f.source is null then 0.0 else 0.8 end end, 0.0)::double, 6) as score from q left join f on f.source = q.source"""
+)
+def answered_by_class(spark, sf_dir):
+    """Completeness by the class of the question; one source has a question and no chunks."""
+    number = F.regexp_extract("source", "[0-9]+", 0).cast("int")
+    docs = table(spark, sf_dir, "documents")
+    start = F.when(number % 5 == 0, "How do I ").when(number % 5 == 1, "What fields of ").when(number % 5 == 2, "Which APIs have ").when(number % 5 == 3, "the ERROR in ").otherwise("about ")
+    questions = docs.select(F.col("source").alias("query"), F.concat(start, "source").alias("question")).distinct()
+    kind = F.when(F.col("lang") == "en", "endpoint").when(F.col("lang") == "fr", "schema").otherwise("other")
+    file = F.element_at(F.array(*[F.lit(f"Sponsored_{x}.json") for x in ("Display", "Brands", "Products", "Rest")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    chunks = docs.where(number != 19).select(F.col("source").alias("query"), F.col("text").alias("document"), kind.alias("type"), file.alias("source_file"))
+    return evaluate.answered(questions, chunks).withColumn("score", F.round("score", 6))
 
 
 PARTS = """select p_brand as file, 'API: ' || p_brand || chr(10) || string_agg('GET /parts/' || p_partkey || ' [get' || p_size || ']', chr(10) order by p_partkey) as text
@@ -60,11 +94,12 @@ PARTS = """select p_brand as file, 'API: ' || p_brand || chr(10) || string_agg('
 
 
 def _index(spark, sf_dir):
-    place = F.expr("row_number() over (partition by p_brand order by p_partkey)")
-    line = F.concat(F.lit("GET /parts/"), F.col("p_partkey"), F.lit(" [get"), F.col("p_size"), F.lit("]"))
-    rows = table(spark, sf_dir, "part").withColumn("rn", place).where("rn <= 20").withColumn("line", line)
-    lines = rows.groupBy(F.col("p_brand").alias("file")).agg(F.expr("listagg(line, '\n') within group (order by p_partkey)").alias("l"))
-    return lines.select("file", F.concat(F.lit("API: "), "file", F.lit("\n"), "l").alias("text"))
+    """Index texts of specifications, one a brand, with an operation for each of its parts."""
+    path = F.concat(F.lit('"/parts/'), "p_partkey", F.lit('": {"get": {"operationId": "get'), "p_size", F.lit('"}}'))
+    rows = table(spark, sf_dir, "part").withColumn("path", path)
+    paths = rows.groupBy(F.col("p_brand").alias("file")).agg(F.expr("listagg(path, ', ') within group (order by p_partkey)").alias("l"))
+    specs = paths.select("file", F.encode(F.concat(F.lit('{"openapi": "3.0.0", "paths": {'), "l", F.lit("}}")), "utf-8").alias("content"))
+    return apiindex.build_index(specs.withColumn("file", F.concat("file", F.lit(".json")))).withColumn("file", F.regexp_replace("file", r"\.json$", ""))
 
 
 @query(PARTS)

@@ -155,14 +155,21 @@ def keyword_or(spark, sf_dir):
 
 
 @query(
-    """select doc_id as id, (case when contains(lower(text), 'thing') then 2 else 0 end + case when contains(lower(text), 'tion') then 2 else 0 end
-      + case when contains(lower(text), 'was') then 2 else 0 end + case when contains(lower(source), 'src1') then 0 else 0 end
-      + case when lang = 'en' and (contains(lower(text), 'thing') or contains(lower(text), 'tion') or contains(lower(text), 'was')) then 1 else 0 end)::int as score
-    from documents where contains(lower(text), 'thing') or contains(lower(text), 'tion') or contains(lower(text), 'was') order by score desc, id limit 20"""
+    """with c as (select doc_id as id, lower(text) as document, lower('op' || case when doc_id % 3 = 0 then 'Thing' else source end) as operation_id,
+        lower('operationId: op' || case when doc_id % 3 = 0 then 'Thing' else source end || ' lang: ' || lang || ' source: ' || source) as metadata,
+        case when lang = 'en' then 'endpoint' else 'schema' end as type from documents),
+      w as (select unnest(['get', 'thing', 'was', 'field', 'src1', 'es', 'retrieve', 'fetch', 'show', 'property', 'attribute', 'parameter']) as word),
+      p as (select id, any_value(type) as type, sum(case when contains(operation_id, word) then 3 when contains(document, word) then 2 when contains(metadata, word) then 1 else 0 end) as points from c, w group by id)
+    select id, (points + (type = 'endpoint')::int)::int as score from p where points + (type = 'endpoint')::int > 0 order by score desc, id limit 20"""
 )
 def keyword_weighted(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"), F.col("lang").alias("type"))
-    return keyword.weighted(docs, {"thing": ["tion"], "was": []}, 20, boost_type="en").select("id", "score")
+    """A term counts where it stands first: operation id, document, metadata; chunks of the type asked for get a point."""
+    name = F.concat(F.lit("op"), F.when(F.col("doc_id") % 3 == 0, "Thing").otherwise(F.col("source")))
+    kind = F.when(F.col("lang") == "en", "endpoint").otherwise("schema")
+    metadata = F.concat(F.lit("operationId: "), name, F.lit(" lang: "), "lang", F.lit(" source: "), "source")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"), name.alias("operation_id"), metadata.alias("metadata"), kind.alias("type"))
+    terms, asked = keyword.weighted_terms("Get thing was FIELD src1 es")
+    return keyword.weighted(docs, terms, 20, asked).select("id", "score")
 
 
 @query(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as t
 from docgraph.operators import keyword, markdown, retrieval, store
+from docgraph.runtime import checkpoint_folder
 
 from .registry import query, table
 from .search import HITS, modular_edges
@@ -32,12 +35,22 @@ NEAR = f"n as (select h.vec_id as id, distance, text, source, lang, label from (
 )
 def search_summaries(spark, sf_dir):
     """Hits in files whose name holds a part, as summaries; excluded ids are not filled up."""
-    from docgraph.functions.vectors import clamp
+    found, _ = _searched(spark, sf_dir, 12, exclude=True)
+    return found.select("chunk_id", "title", F.round("relevance_score", 6).alias("relevance_score"), "file_name", "chunk_type")
+
+
+def _searched(spark, sf_dir, limit, exclude=False):
+    """A search of a store of the documents that have a vector."""
+    chunks = _chunks(spark, sf_dir).withColumn("natural_name", F.when(F.col("label") % 2 == 0, "").otherwise(F.concat(F.lit("label "), "label"))).drop("refs")
+    kept = store.ChunkStore(spark, f"{checkpoint_folder(spark)}/store-{uuid.uuid4().hex}").setup()
+    kept.add(chunks)
+    fifth = [r.id for r in chunks.where("id % 5 = 0").select("id").collect()] if exclude else None  # an agent's list
+    return retrieval.search_chunks(kept, _query(chunks), limit, "SRC1", fifth)
+
 
-    chunks = _chunks(spark, sf_dir).withColumn("natural_name", F.when(F.col("label") % 2 == 0, "").otherwise(F.concat(F.lit("label "), "label")))
-    hits = store.top_k(chunks.where(F.lower("source_file").contains("SRC1".lower())), _query(chunks), 12).where("id % 5 <> 0")
-    title = F.coalesce(F.nullif(F.col("natural_name"), F.lit("")), F.concat_ws(":", "source_file", "id"))
-    return hits.select(F.col("id").alias("chunk_id"), title.alias("title"), F.round(clamp(1 - F.col("distance")), 6).alias("relevance_score"), F.col("source_file").alias("file_name"), F.col("type").alias("chunk_type"))
+@query(f"with {NEAR}, k as (select * from n where contains(lower(source), 'src1') order by distance, id limit 12) select list_sort(list(distinct source)) as files_searched from k")
+def files_searched(spark, sf_dir):
+    return _searched(spark, sf_dir, 12)[1]
 
 
 RAW = f"""{NEAR}, k as (select *, row_number() over (order by distance, id) as rank from n order by distance, id limit 10),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as t
 from docgraph.operators import keyword
+from docgraph.operators.embedding import EmbeddingCache
+from docgraph.runtime import checkpoint_folder
 
 from .registry import query, table
 
@@ -88,17 +92,27 @@ def dup_ids(spark, sf_dir):
 SEEN = "select distinct sha256(text) as k from documents where lang = 'en'"
 
 
-@query(f"with c as ({SEEN}) select doc_id, k is not null as cached from documents left join c on sha256(text) = k")
+def _cache(spark, sf_dir):
+    """A cache of the English documents' embeddings, of which some are put again; keyed documents."""
+    keyed = docs(spark, sf_dir).withColumn("cache_key", F.sha2("text", 256))
+    cache = EmbeddingCache(spark, f"{checkpoint_folder(spark)}/cache-{uuid.uuid4().hex}")
+    english = keyed.where("lang = 'en'")
+    cache.put(english.select("cache_key", F.array(F.lit(0.0).cast("float")).alias("embedding")))
+    cache.put(english.where("doc_id % 2 = 0").select("cache_key", F.array(F.lit(1.0).cast("float")).alias("embedding")))
+    return cache, keyed
+
+
+@query(f"with c as ({SEEN}), e as (select distinct sha256(text) as k from documents where lang = 'en' and doc_id % 2 = 0) select doc_id, c.k is not null as cached, case when c.k is not null then (e.k is not null)::int end as value from documents left join c on sha256(text) = c.k left join e on sha256(text) = e.k")
 def cache_hits(spark, sf_dir):
-    d = docs(spark, sf_dir).withColumn("k", F.sha2("text", 256))
-    cache = d.where("lang = 'en'").select("k").distinct().withColumn("hit", F.lit(True))
-    return d.join(cache, "k", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("cached"))
+    """Documents with what the cache has for them: the embedding put last."""
+    cache, keyed = _cache(spark, sf_dir)
+    return cache.lookup(keyed).select("doc_id", F.col("embedding").isNotNull().alias("cached"), F.get("embedding", F.lit(0)).cast("int").alias("value"))
 
 
 @query(f"select distinct sha256(text) as cache_key from documents where sha256(text) not in ({SEEN})")
 def cache_misses(spark, sf_dir):
-    d = docs(spark, sf_dir).select("lang", F.sha2("text", 256).alias("cache_key"))
-    return d.join(d.where("lang = 'en'").select("cache_key"), "cache_key", "left_anti").select("cache_key").distinct()
+    cache, keyed = _cache(spark, sf_dir)
+    return cache.misses(keyed).select("cache_key").distinct()
 
 
 # ---- links: the pages' anchors written as Markdown

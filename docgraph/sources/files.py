@@ -40,7 +40,8 @@ def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame
     """(file, content) of all files below ``root`` by suffix in any case; names that start with a dot, and all below
     such directories, are left out. Missing roots and files in their place are errors."""
     base = _status(spark, root)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s[1:]) for s in suffixes) + "}"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(base)
     file = _relative(F.col("path"), base)
     wanted = F.lower(file).rlike("(" + "|".join(re.escape(s) for s in suffixes) + ")$")
     return found.select(file.alias("file"), "content").where(wanted & ~F.col("file").rlike(r"(^|/)\."))

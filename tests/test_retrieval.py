@@ -169,6 +169,37 @@ def test_cache(spark, tmp_path):
     assert embedding.HashingEmbedder.from_config(embedding.HashingEmbedder().config()) == embedding.HashingEmbedder()
 
 
+def test_cache_replaces(spark, tmp_path):
+    cache = embedding.EmbeddingCache(spark, str(tmp_path / "c"))
+    for value in (1.0, 2.0):
+        cache.put(spark.createDataFrame([("k", [value])], "cache_key string, embedding array<float>"))
+    keyed = spark.createDataFrame([("k",), ("l",)], "cache_key string")
+    assert {r.cache_key: r.embedding for r in cache.lookup(keyed).collect()} == {"k": [2.0], "l": None}
+    assert [r.cache_key for r in cache.misses(keyed).collect()] == ["l"]
+
+
+def test_one_lookup_for_each_depth():
+    g = {f"n{i}": [f"n{4 * i + k}" for k in range(1, 5)] for i in range(400)}
+    asked = []
+
+    def get(ids):
+        asked.append(len(ids))
+        return lookup(g)(ids)
+
+    got, _ = retrieval.expand_references(get, [hits(g)["n0"]], 3, 60)
+    assert len(got) == 60 and len(asked) <= 3
+    retrieval.get_chunks(get, ["n0"], 3, 90)
+    assert len(asked) <= 7
+
+
+def test_health_of_all_parts(spark, tmp_path):
+    kept = store.ChunkStore(spark, str(tmp_path)).setup()
+    kept.add(spark.createDataFrame([("a", "x", [1.0])], "id string, document string, embedding array<float>"))
+    found = kept.health(embedding.HashingEmbedder(), embedding.EmbeddingCache(spark, str(tmp_path / "c")))
+    assert found["healthy"] and found["embedding_model"] and found["embedding_cache"] and found["count"] == 1
+    assert kept.health(None, None)["errors"] == ["no embedder", "no embedding cache"]
+
+
 def test_many_queries_go_in_blocks(spark, monkeypatch):
     """The same rows in blocks as at once, with ties, a zero and a missing vector and a query that is there twice."""
     rng = random.Random(5)
@@ -215,7 +246,12 @@ def test_query_expansion(spark):
 
 def test_prototype_rankings(spark):
     df = spark.createDataFrame([("a", "The user list", "getUser", "operation"), ("b", "other", "", "component"), ("c", "users", "", "component")], "id string, document string, operation_id string, type string")
-    assert [(r.id, r.score) for r in keyword.weighted(df, {"user": []}, 5, "operation").collect()] == [("a", 6), ("c", 2)]
+    ranked = lambda *a: [(r.id, r.score) for r in keyword.weighted(*a).collect()]
+    assert ranked(df, ["user"], 5, "operation") == [("a", 4), ("c", 2)]  # where a word stands first counts, no other place
+    assert ranked(df, ["user"], 5, "component") == [("a", 3), ("c", 3), ("b", 1)]  # the type asked for is a result by itself
+    assert ranked(df.withColumn("metadata", F.lit("Zone")), ["zone", "ZONE"], 5) == [("a", 1), ("b", 1), ("c", 1)]
+    assert keyword.weighted_terms("List Campaign fields") == (["list", "campaign", "fields", "retrieve", "fetch", "show", "campaigns", "campaignid"], "endpoint")
+    assert keyword.weighted_terms("a field") == (["a", "field", "property", "attribute", "parameter"], "schema") and keyword.weighted_terms("x")[1] is None
     assert {r.id for r in keyword.contains_any(df, "USER of").collect()} == {"a", "c"}
     assert keyword.lists_as_csv(df.withColumn("l", F.array(F.lit("x"), F.lit("y")))).head().l == "x,y"
     assert keyword.sample(df, 2).count() == 2
