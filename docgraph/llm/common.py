@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from docgraph.runtime import visible
+from docgraph.runtime import checkpoint_folder, visible
 
 #: A word is a run of anything but space and the ASCII controls 9 to 13.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -34,17 +34,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; there is no other place for what is kept."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named)
-    return context.getCheckpointDir()
-
-
 def cut(df: DataFrame, small: bool = False) -> DataFrame:
     """Materialise in the cluster's shared checkpoint folder, cutting lineage.
 
@@ -52,7 +41,7 @@ def cut(df: DataFrame, small: bool = False) -> DataFrame:
     have tasks: every round of an iteration else leaves as many little files as large tables need. Dealing it is a
     shuffle of its own, so that the stage before it keeps all its tasks.
     """
-    folder(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     if small:
         df = df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     return df.checkpoint(eager=True)
@@ -69,7 +58,7 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it again."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
