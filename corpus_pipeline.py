@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgraph.llm import linedup, mixing, neardup, pieces, quality
-from docgraph.llm.common import shared_table
+from docgraph.llm.common import drop_table, read, shared_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = shared_table(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_table(before)  # the stage after it is written: nothing reads it any more
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
