@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graphs, ingest, markdown, ranking, search, serving, specs, texts  # noqa: F401
+from . import graphs, ingest, markdown, notes, ranking, search, serving, specs, stores, texts  # noqa: F401
 from .registry import QUERIES, SQL
 from .search import flagship  # noqa: F401
 
