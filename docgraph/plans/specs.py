@@ -43,7 +43,7 @@ def specs(spark, sf_dir):
 
 
 def parsed(spark, sf_dir):
-    return openapi.graph.cut(openapi.parse_elements(specs(spark, sf_dir)))
+    return openapi.graph.cut(openapi.parse_elements(specs(spark, sf_dir), columns=["file", "id", "refs", "parent"]))
 
 
 @query(
@@ -54,7 +54,7 @@ def parsed(spark, sf_dir):
     from k where kind < 4 or kind = 4 and exists (select 1 from orders where o_custkey = c_custkey)"""
 )
 def spec_errors_many(spark, sf_dir):
-    return openapi.rejected(openapi.parse_elements(specs(spark, sf_dir)))
+    return openapi.rejected(openapi.parse_elements(specs(spark, sf_dir), columns=["file", "success", "errors"]))
 
 
 @query(
@@ -68,7 +68,7 @@ def spec_errors_many(spark, sf_dir):
 def spec_elements_many(spark, sf_dir):
     """Info, tags, operations (split from their failing responses) and components of the valid files, JSON and YAML."""
     names = ["id", "type", "chunk_type", "natural_name", "path", "method", "operation_id", "tags", "component_type", "component_name", "child", "parent"]
-    return openapi.parse_elements(specs(spark, sf_dir)).where("id is not null").select(*names)
+    return openapi.parse_elements(specs(spark, sf_dir), columns=names).where("id is not null")
 
 
 LINE = "|| chr(10) ||"
@@ -84,7 +84,7 @@ LINE = "|| chr(10) ||"
     select id, document, substr(sha256(document), 1, 16) as content_hash from d"""
 )
 def spec_documents(spark, sf_dir):
-    return openapi.parse_elements(specs(spark, sf_dir)).where("id is not null").select("id", "document", "content_hash")
+    return openapi.parse_elements(specs(spark, sf_dir), columns=["id", "document", "content_hash"]).where("id is not null")
 
 
 @query(f"with {FILES}, {EDGES} select file, src, dst, pos from e")
@@ -104,7 +104,7 @@ def spec_references(spark, sf_dir):
 )
 def spec_links(spark, sf_dir):
     """Each chunk's references in order and what refers to it, after operations are split."""
-    return openapi.process(specs(spark, sf_dir)).select("id", "ref_order", "referenced_by", "error_responses", "parent_operation", "api_info_ref")
+    return openapi.process(specs(spark, sf_dir), columns=["id", "ref_order", "referenced_by", "error_responses", "parent_operation", "api_info_ref"])
 
 
 @query(

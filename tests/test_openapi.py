@@ -162,3 +162,101 @@ def test_index_forms(spark, tmp_path):
 def test_chunks_json(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps([{"id": "b", "x": 1}, {"id": "a", "x": 2}, {"id": "b", "x": 3}]))
     assert [(r.id, r.x) for r in files.read_chunks_json(spark, str(tmp_path / "c.json"), 2).collect()] == [("b", 1), ("a", 2)]
+
+
+def test_links_of_one_file_without_a_shuffle(spark):
+    """References are found file by file: no join, no exchange, and an id of another file is no target."""
+    ref = lambda n: {"$ref": f"#/{n}"}
+    given = {"a": spec(components={"schemas": {"A": ref("b.json:info"), "B": ref("components/schemas/A")}}), "a:b.json": spec()}
+    found = openapi.process(files.in_memory(spark, {f"{k}.json" if k == "a" else k: json.dumps(v) for k, v in given.items()}))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = {r.id: r for r in found.collect()}
+    assert got["a.json:components/schemas/A"].ref_order == [] and got["a.json:components/schemas/A"].referenced_by == ["a.json:components/schemas/B"]
+
+
+def test_links_need_no_rendering(spark, monkeypatch):
+    """Columns that are not asked for are not worked out, and those that are come out the same."""
+    op = {"responses": {"200": {"$ref": "#/components/schemas/A"}, "404": {}}}
+    data = spec(paths={"/x": {"get": op}}, components={"schemas": {"A": {"$ref": "#/components/schemas/B"}, "B": {"$ref": "#/components/schemas/A"}}})
+    raw = json.dumps(data).encode()
+    whole = openapi._file_elements("s.json", raw, Config(), set(openapi.COLUMNS))
+    monkeypatch.setattr(openapi, "render", lambda content: 1 / 0)
+    names = ["id", "ref_ids", "ref_order", "referenced_by", "child", "parent"]
+    slim = openapi._file_elements("s.json", raw, Config(), set(names))
+    assert [[r.get(c) for c in names] for r in slim] == [[r.get(c) for c in names] for r in whole] and len(slim) == 5
+
+
+def test_links_against_joins(spark):
+    """Random graphs, with self references and dangling ones, against the edge table and its closure."""
+    import random
+
+    rng = random.Random(5)
+    given = {f"{f}.json": spec(components={"schemas": {f"S{i}": {"p": [{"$ref": f"#/components/schemas/S{rng.randrange(14)}"} for _ in range(rng.randrange(4))]} for i in range(12)}}) for f in range(6)}
+    parsed = graph.cut(openapi.parse_elements(files.in_memory(spark, {k: json.dumps(v) for k, v in given.items()})))
+    got = {(r.id, dst): deps for r in openapi.build_chunks(parsed).collect() for dst, deps in r.ref_ids.items()}
+    assert got == {(r.src, r.dst): r.deps for r in graph.dependencies(openapi.reference_edges(parsed)).collect()}
+    back = {r.id: sorted(r.referenced_by) for r in openapi.build_chunks(parsed).collect() if r.referenced_by}
+    assert back == {r.id: r.referenced_by for r in graph.inverse(openapi.reference_edges(parsed)).collect()}
+
+
+def test_batches_hold_bounded_rows():
+    import pyarrow as pa
+
+    n = 400  # a cycle: each reference reaches all the others
+    ring = spec(components={"schemas": {f"S{i}": {"$ref": f"#/components/schemas/S{(i + 1) % n}"} for i in range(n)}})
+    given = pa.RecordBatch.from_pydict({"file": ["a.json"] * 2, "content": [json.dumps(ring).encode()] * 2})
+    sizes = [b.num_rows for b in openapi._elements([given], Config(), ["id", "ref_ids"])]
+    assert sum(sizes) == 2 * (n + 1) and max(sizes) <= openapi.BATCH // n + 2
+
+
+def test_yaml_bound():
+    import random
+
+    import yaml
+
+    rng = random.Random(7)
+    words = ["a", "plain words", "x" * 130, "a: b #c", "it's", '"q" \\', " lead", "Ünï", "\x07\n\n", "true", "", "word " * 60, "😀" * 30]
+
+    def some(depth):
+        kind = rng.randrange(6) if depth else 9
+        if kind < 2:
+            return {rng.choice(words) + str(rng.randrange(9)): some(depth - 1) for _ in range(rng.randrange(4))}
+        if kind == 2:
+            return [some(depth - 1) for _ in range(rng.randrange(4))]
+        return rng.choice([*words, None, True, -7, 10**40, 1.5e-300, float("nan")])
+
+    for _ in range(400):
+        x = {"N": some(6)}
+        assert openapi.yaml_bound(x, 1 << 40) >= len(yaml.dump(x, default_flow_style=False))
+    loop = {}
+    loop["again"] = loop
+    assert openapi.yaml_bound(loop) > openapi.MOST_CHARS and openapi.yaml_bound({"small": {"type": "object"}}) < openapi.MOST_CHARS
+
+
+@pytest.mark.parametrize(
+    "text,direct",
+    [
+        ('{"a":{"b":[1,-2,0,-0,null,true,"x: #y",""]},"<<":{"c":1},"2020-01-01":"2020-01-01"}\n', True),
+        ('{"a": 1, "a": 2, "b" : [ ] , "on": "yes"}', True),
+        ('{"a":1.5e3}', False),
+        ('{"a":NaN}', False),
+        ('{"a":"\\u0041"}', False),
+        ('{"a":"é "}', False),
+        ('{"a"\n:1}', False),
+        ('{"' + "k" * 1100 + '":1}', False),
+        ('{"a"' + " " * 1100 + ":1}", False),
+        ("{a: 1}", False),
+        ('{"a":1,}', False),
+        ("{", False),
+    ],
+)
+def test_yaml_that_is_json(text, direct):
+    """Read directly only where YAML's reader says the same."""
+    import yaml
+
+    found = files._flow(text)
+    assert (found is not None) == direct
+    if direct:
+        want = yaml.safe_load(text)
+        assert found == want and list(found) == list(want)
