@@ -113,4 +113,4 @@ def spec_links(spark, sf_dir):
 )
 def spec_reach(spark, sf_dir):
     """Each direct reference with all that it reaches (the schemas of one customer form a cycle)."""
-    return openapi.process(specs(spark, sf_dir)).select("id", F.explode("ref_ids").alias("target", "deps"))
+    return openapi.process(specs(spark, sf_dir), columns=["id", "ref_ids"]).select("id", F.explode("ref_ids").alias("target", "deps"))

@@ -260,3 +260,17 @@ def test_yaml_that_is_json(text, direct):
     if direct:
         want = yaml.safe_load(text)
         assert found == want and list(found) == list(want)
+
+
+def test_reach_leaves_nothing_on_disk(spark, sf, monkeypatch):
+    """No checkpoint, no shuffle of elements or of what they reach: only two columns leave the parser."""
+    from docgraph.plans import specs
+
+    def refuse(df):
+        raise AssertionError("checkpoint")
+
+    monkeypatch.setattr(graph, "cut", refuse)
+    found = specs.spec_reach(spark, sf)
+    after, before = found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
+    assert "Exchange" not in after and "document" not in before.split("\n")[0] and "ref_order" not in before.split("\n")[0]
+    assert found.count() > 0
